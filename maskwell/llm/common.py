@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -15,27 +16,44 @@ from pyspark.sql import functions as F
 #: The white space that separates words: space and the controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Stands for a null doc_id where a key must not be null.
+NULL_ID = -(1 << 63)
 #: Bytes of text that a Python step works on at a time; bounds its memory whatever the batch holds.
 CHUNK_BYTES = 4 << 20
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the folder of spark.checkpoint.dir and cut from their lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which driver and executors share.
 
-    That folder is shared between driver and executors, so the rows survive the loss of any executor.
-    Where the setting is absent and Spark runs inside one process, a temporary folder serves.
+    It is the one in spark.checkpoint.dir; where that is not set and Spark runs inside one process, as in tests, a
+    temporary folder.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
+    context = spark.sparkContext
+    found = context._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get()
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+    context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The same rows, in the same partitions and order, checkpointed: they survive the loss of any executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, from a Parquet table in the shared folder: compressed, and read by column."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
