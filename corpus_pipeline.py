@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwell.llm import line_dedup, mixing, packing, quality
+from maskwell.llm import jaccard_join, line_dedup, mixing, packing, quality
 from maskwell.llm.common import read, written
 
 
@@ -16,6 +16,10 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return line_dedup.without_repeated_lines(docs, min_docs=10, min_chars=1)
 
 
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.one_of_each(docs, n=5, percent=80)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
@@ -27,6 +31,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality", quality_stage),
     ("line_dedup", line_dedup_stage),
+    ("jaccard_join", jaccard_stage),
     ("mixing", mixing_stage),
     ("packing", packing_stage),
 ]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, line_dedup, mixing, packing, quality
+from . import chat, fingerprint, jaccard_join, line_dedup, mixing, packing, quality, token_counts
 from .common import read
 
 
@@ -15,6 +15,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_report(read(spark, sf_dir, "documents"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(read(spark, sf_dir, "documents"), n=5, percent=80)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"))
 
@@ -39,8 +43,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json", window=4096)
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer="piece_bpe_32k.model")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fingerprints, op4_quality, op5_line_dedup, op7_mixing, op8_chat, op9_packing)}
+    return {f.__name__: f for f in (op2_fingerprints, op3_jaccard, op4_quality, op5_line_dedup, op7_mixing, op8_chat, op9_packing, op10_token_counts)}
 
 
 #: Expressions of DuckDB.
