@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ MARK = "▁"
 #: A character that no piece covers is spelled by bytes: each byte is a token of this score.
 BYTE_SCORE = -1e6
 #: Pre-tokens (and trie nodes, a few times as many) that a worker remembers.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 300_000
 
 
 class Vocabulary:
@@ -45,35 +46,34 @@ class Trie:
         self.clear()
 
     def clear(self) -> None:
-        self.children: list[dict[str, int]] = [{}]
-        self.best: list[tuple[float, int]] = [(0.0, 0)]
+        #: The node below another by a character: keys are the node's number times 2**21 plus the code point.
+        self.below: dict[int, int] = {}
+        self.score, self.count = array("d", [0.0]), array("l", [0])
         self.terminals: dict[int, int] = {}
 
     def insert(self, token: str) -> tuple[float, int]:
         """Score and number of tokens of the best segmentation; among equal scores, the fewest tokens."""
-        children, best, scores, longest = self.children, self.best, self.vocabulary.scores, self.vocabulary.longest
+        below, score, count, scores, longest = self.below, self.score, self.count, self.vocabulary.scores, self.vocabulary.longest
         path, node = [0], 0
         for end, char in enumerate(token, 1):
-            below = children[node].get(char)
-            if below is None:
-                below = len(children)
-                children[node][char] = below
-                children.append({})
-                score, count = best[path[-1]]
+            key = (node << 21) + ord(char)
+            node = below.get(key)
+            if node is None:
+                node = below[key] = len(score)
                 size = len(char.encode("utf-8", "surrogatepass"))
-                found = score + size * BYTE_SCORE, -(count + size)
+                best, fewest = score[path[-1]] + size * BYTE_SCORE, count[path[-1]] + size
                 for start in range(max(0, end - longest), end):
                     piece = scores.get(token[start:end])
                     if piece is not None:
-                        score, count = best[path[start]]
-                        other = score + piece, -(count + 1)
-                        if other > found:
-                            found = other
-                best.append((found[0], -found[1]))
-            node = below
+                        at = path[start]
+                        piece += score[at]
+                        if piece > best or (piece == best and count[at] + 1 < fewest):
+                            best, fewest = piece, count[at] + 1
+                score.append(best)
+                count.append(fewest)
             path.append(node)
         self.terminals[node] = self.terminals.get(node, 0) + 1
-        return best[node]
+        return score[node], count[node]
 
 
 class WordCosts:
