@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, jaccard_join, line_dedup, mixing, packing, quality, token_counts
+from . import chat, fingerprint, jaccard_join, language_id, line_dedup, mixing, packing, quality, token_counts
 from .common import read
 
 
@@ -27,6 +27,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.kept_digests(read(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(read(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "passes")
 
@@ -48,7 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fingerprints, op3_jaccard, op4_quality, op5_line_dedup, op7_mixing, op8_chat, op9_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op2_fingerprints, op3_jaccard, op4_quality, op5_line_dedup, op6_language, op7_mixing, op8_chat, op9_packing, op10_token_counts)}
 
 
 #: Expressions of DuckDB.
