@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, jaccard_join, language_id, line_dedup, mixing, packing, quality, token_counts
+from . import chat, context_mixing, fingerprint, jaccard_join, language_id, line_dedup, mixing, packing, quality, token_counts
 from .common import read
 
 
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(read(spark, sf_dir, "documents"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_report(read(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fingerprints, op3_jaccard, op4_quality, op5_line_dedup, op6_language, op7_mixing, op8_chat, op9_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_context_mixing, op2_fingerprints, op3_jaccard, op4_quality, op5_line_dedup, op6_language, op7_mixing, op8_chat, op9_packing, op10_token_counts)}
 
 
 #: Expressions of DuckDB.
