@@ -95,7 +95,8 @@ class Engine:
         inner = by_leaf({c: k for name in used for c, k in self.catalog.types(database, name).items() if "." in c})
         columns = [documents.masked_nested(F.col(f"c{i}"), f.dataType, inner, salt, f.name, kinds[i]).alias(f.name) for i, f in enumerate(raw.schema.fields)]
         out = named.select(*columns)
-        masked = [c for c, k in zip(raw.columns, kinds) if k not in (None, "SAFE")]
+        inside = [lineage.resolve(sources, types, order) for _, sources in found]
+        masked = [c for c, *k in zip(raw.columns, kinds, inside) if set(k) - {None, "SAFE"}]
         return QueryResult(out.limit(most) if limited else out, raw.columns, used, masked)
 
     # Documents

@@ -35,7 +35,7 @@ SYSTEM_TABLES = {
 SPARK_DANGEROUS = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "version", "current_user", "session_user", "user"}
 #: Table functions that a query may call.
 TABLE_FUNCTIONS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple", "variant_explode", "variant_explode_outer", "sql_keywords"}
-QUERY_ROOTS = {"Project", "Aggregate", "Distinct", "Deduplicate", "Filter", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Union", "Intersect", "Except", "UnresolvedWith", "WithCTE", "UnresolvedHaving", "UnresolvedInlineTable", "SubqueryAlias", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "WithWindowDefinition", "UnresolvedTableValuedFunction", "LimitAll", "Pivot", "UnresolvedPivot"}
+QUERY_ROOTS = {"Project", "Aggregate", "Distinct", "Deduplicate", "Filter", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Union", "Intersect", "Except", "UnresolvedWith", "WithCTE", "UnresolvedHaving", "UnresolvedInlineTable", "SubqueryAlias", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "WithWindowDefinition", "UnresolvedTableValuedFunction", "LimitAll", "LocalRelation", "Pivot", "UnresolvedPivot"}
 
 
 # Column expressions
