@@ -58,27 +58,45 @@ def gram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-SETS = "doc_id long, n long, class long, grams array<long>"
+FOUND = "doc_id long, n long, class long, gram long, found long"
 
 
-def with_sets(docs: DataFrame, n: int) -> DataFrame:
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def class_of(grams: np.ndarray) -> int | None:
+    return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63) if len(grams) else None
+
+
+def survey(docs: DataFrame, n: int) -> DataFrame:
+    """Of each document the set's size and class; and n-grams that a task holds twice or more, with their counts.
+
+    Sets are not stored: at 8 bytes a word they are larger than the text, and few are needed again."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            sets = gram_sets(batch.column("text"), n)
-            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-            classes = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(classes, pa.int64()), grams], names=["doc_id", "n", "class", "grams"])
+        held: list[np.ndarray] = []
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SETS)
+        def rows(doc_id, size, class_, gram, found) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (doc_id, size, class_, gram, found)], names=["doc_id", "n", "class", "gram", "found"])
 
+        def counted() -> pa.RecordBatch:
+            grams, counts = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            none = [None] * int((counts > 1).sum())
+            return rows(none, none, none, grams[counts > 1], counts[counts > 1])
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """All grams in a row, and where each row's begin (one more at the end)."""
-    lists = batch.column("grams")
-    offsets = lists.offsets.to_numpy()
-    return lists.flatten().to_numpy(), (offsets - offsets[0]).astype(np.int64)
+        for batch in chunks(batches):
+            sets = gram_sets(batch.column("text"), n)
+            none = [None] * len(sets)
+            yield rows(batch.column("doc_id").to_pylist(), [len(s) for s in sets], [class_of(s) for s in sets], none, none)
+            held += sets
+            if sum(map(len, held)) > COUNTED:
+                yield counted()
+        if held:
+            yield counted()
+
+    return docs.mapInArrow(run, FOUND)
 
 
 def slot_table(rows: DataFrame, slot: str, value: str, slots: int, bits: bool) -> np.ndarray:
@@ -99,46 +117,38 @@ def slot_table(rows: DataFrame, slot: str, value: str, slots: int, bits: bool) -
     return out
 
 
-def common_levels(sets: DataFrame) -> np.ndarray:
+def common_levels(found: DataFrame) -> np.ndarray:
     """For each slot, the order of magnitude of its commonest n-gram; 0 for n-grams that are not common."""
+    common = found.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("found").alias("found")).where(F.col("found") >= COMMON)
+    return slot_table(common.select(F.pmod("gram", F.lit(SLOTS)).alias("slot"), F.floor(F.log2("found")).alias("level")), "slot", "level", SLOTS, False)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
 
-        def counted() -> pa.RecordBatch:
-            grams, counts = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(grams[counts > 1]), pa.array(counts[counts > 1])], names=["gram", "found"])
+def prefix_length(n, percent: int):
+    return n - (percent * n + 99) // 100 + 1
 
-        for batch in batches:
-            held.append(_flat(batch)[0])
-            if sum(map(len, held)) > COUNTED:
-                yield counted()
-        if held:
-            yield counted()
 
-    found = sets.select("grams").mapInArrow(run, "gram long, found long").groupBy("gram").agg(F.sum("found").alias("found")).where(F.col("found") >= COMMON)
-    slots = found.select(F.pmod("gram", F.lit(SLOTS)).alias("slot"), F.floor(F.log2("found")).alias("level"))
-    return slot_table(slots, "slot", "level", SLOTS, False)
+def _joined(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All grams in a row, the sets' sizes, and each gram's set."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    return np.concatenate(sets), sizes, np.repeat(np.arange(len(sizes)), sizes)
 
 
-def prefix_rows(sets: DataFrame, levels, percent: int) -> DataFrame:
-    """(gram, class, n, position) for the first n - ceil(percent * n / 100) + 1 grams of each set in the global order."""
+def prefix_rows(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
+    """(gram, class, n, position) for each set's prefix: its first grams in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
-        for batch in batches:
-            grams, offsets = _flat(batch)
-            sizes = np.diff(offsets)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
+        for batch in chunks(batches):
+            sets = gram_sets(batch.column("text"), n)
+            classes = np.array([class_of(s) or 0 for s in sets], np.int64)
+            grams, sizes, owner = _joined(sets)
             order = np.lexsort((grams, level[grams % SLOTS], owner))
-            position = np.arange(len(grams)) - offsets[:-1][owner]
-            length = sizes - (percent * sizes + 99) // 100 + 1
-            chosen = position < length[owner]
+            position = np.arange(len(grams)) - (np.cumsum(sizes) - sizes)[owner]
+            chosen = position < prefix_length(sizes, percent)[owner]
             own = owner[chosen]
-            yield pa.RecordBatch.from_arrays([pa.array(grams[order][chosen]), batch.column("class").take(pa.array(own)), pa.array(sizes[own]), pa.array(position[chosen])], names=["gram", "class", "n", "position"])
+            yield pa.RecordBatch.from_arrays([pa.array(grams[order][chosen]), pa.array(classes[own]), pa.array(sizes[own]), pa.array(position[chosen])], names=["gram", "class", "n", "position"])
 
-    return sets.where("n > 0").select("class", "grams").mapInArrow(run, "gram long, class long, n long, position long")
+    return docs.select("text").mapInArrow(run, "gram long, class long, n long, position long")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -171,13 +181,30 @@ def _hopeful(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, percent:
     return fits & (np.minimum(n - rows["position"][a], m - rows["position"][b]) + np.minimum(rows["position"][a], rows["position"][b]) >= _need(n, m, percent))
 
 
-PAIR = "a long, b long"
+PAIR = "a long, b long, n_a long, n_b long, shared long"
+
+
+def _pairs(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Distinct pairs, the smaller class first, with sizes and the number of n-grams they were found by."""
+    p, q, n, m = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in range(4))
+    swap = p > q
+    p, q, n, m = np.where(swap, q, p), np.where(swap, p, q), np.where(swap, m, n), np.where(swap, n, m)
+    order = np.lexsort((q, p))
+    p, q, n, m = p[order], q[order], n[order], m[order]
+    new = np.flatnonzero(np.concatenate(([True], (np.diff(p) != 0) | (np.diff(q) != 0)))) if len(p) else np.zeros(0, np.int64)
+    shared = np.diff(np.append(new, len(p)))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (p[new], q[new], n[new], m[new], shared)], names=["a", "b", "n_a", "n_b", "shared"])
+
 
+def likely(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose number of shared prefix n-grams leaves the least overlap possible.
 
-def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    both = np.stack([np.concatenate([p[i] for p in found]) for i in (0, 1)]) if found else np.zeros((2, 0), np.int64)
-    both = np.unique(both, axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+    What two sets share is in both prefixes, or comes after the end of one prefix in the order, and of that there is
+    no more than the rest of that set."""
+    summed = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
+    rest = lambda n: F.floor((percent * n + 99) / 100).cast("long") - 1
+    need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    return summed.where(F.col("shared") + F.greatest(rest(F.col("n_a")), rest(F.col("n_b"))) >= need).select("a", "b")
 
 
 def shared_groups(prefixes: DataFrame) -> DataFrame:
@@ -205,10 +232,9 @@ def pivot_pairs(groups: DataFrame, percent: int) -> DataFrame:
             pivot = np.flatnonzero(first)[np.cumsum(first) - 1]
             other = np.arange(len(pivot))
             keep = (pivot != other) & _hopeful(rows, pivot, other, percent)
-            a, b = rows["class"][pivot[keep]], rows["class"][other[keep]]
-            yield _pairs([(np.minimum(a, b), np.maximum(a, b))])
+            yield _pairs([(rows["class"][pivot[keep]], rows["class"][other[keep]], rows["n"][pivot[keep]], rows["n"][other[keep]])])
 
-    return groups.repartition(n, "gram").sortWithinPartitions("gram", "n", "class").mapInArrow(run, PAIR).distinct()
+    return likely(groups.repartition(n, "gram").sortWithinPartitions("gram", "n", "class").mapInArrow(run, PAIR), percent)
 
 
 def cross_pairs(groups: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -231,8 +257,7 @@ def cross_pairs(groups: DataFrame, labels: DataFrame, percent: int) -> DataFrame
                     if not len(b):
                         break
                     b = b[_hopeful(rows, np.full(len(b), i), b, percent)]
-                    p, q = np.full(len(b), rows["class"][i]), rows["class"][b]
-                    found.append((np.minimum(p, q), np.maximum(p, q)))
+                    found.append((np.full(len(b), rows["class"][i]), rows["class"][b], np.full(len(b), rows["n"][i]), rows["n"][b]))
                     waiting += len(b)
                     if waiting > 500_000:
                         yield _pairs(found)
@@ -240,37 +265,39 @@ def cross_pairs(groups: DataFrame, labels: DataFrame, percent: int) -> DataFrame
             if found:
                 yield _pairs(found)
 
-    return labelled.repartition(n, "gram").sortWithinPartitions("gram", "label", "class").select("gram", "class", "n", "position", "label").mapInArrow(run, PAIR).distinct()
+    pairs = labelled.repartition(n, "gram").sortWithinPartitions("gram", "label", "class").select("gram", "class", "n", "position", "label").mapInArrow(run, PAIR)
+    return likely(pairs, percent)
 
 
-def fragments_of(sets: DataFrame, representatives: DataFrame, pairs: DataFrame, levels) -> DataFrame:
-    """(class, n, fragment, grams) of the classes in `pairs`, read off one document each.
+def fragments_of(docs: DataFrame, representatives: DataFrame, pairs: DataFrame, levels, n: int) -> DataFrame:
+    """(class, n, fragment, grams) of the classes in `pairs`, made again from one document's text each.
 
-    A filter of SLOTS bits picks the documents, so that no other set is shuffled; what it lets through by chance
+    A filter of SLOTS bits picks the documents, so that no other set is made; what it lets through by chance
     finds no pair.
     """
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
     spots = wanted.join(representatives, "class").select(F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot"), F.lit(1).alias("one"))
-    chosen = sets.sparkSession.sparkContext.broadcast(slot_table(spots, "slot", "one", SLOTS, True))
+    chosen = docs.sparkSession.sparkContext.broadcast(slot_table(spots, "slot", "one", SLOTS, True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, bits = levels.value, np.unpackbits(chosen.value)
-        for batch in batches:
-            batch = batch.filter(pa.array(bits[batch.column("slot").to_numpy()].astype(bool)))
-            if not batch.num_rows:
+        wanted = (b.filter(pa.array(bits[b.column("slot").to_numpy()].astype(bool))) for b in batches)
+        for batch in chunks(wanted):
+            sets = [s for s in gram_sets(batch.column("text"), n) if len(s)]
+            if not sets:
                 continue
-            grams, offsets = _flat(batch)
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            classes = np.array([class_of(s) for s in sets], np.int64)
+            grams, sizes, owner = _joined(sets)
             range_ = ((grams >> 32) + (1 << 31)) * (FRAGMENTS - 1) >> 32
             fragment = np.where(level[grams % SLOTS] > 0, FRAGMENTS - 1, range_)
             order = np.lexsort((grams, fragment, owner))
             key = (owner * FRAGMENTS + fragment)[order]
             starts = np.flatnonzero(np.concatenate(([True], np.diff(key) != 0)))
             lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)).astype(np.int32)), pa.array(grams[order]))
-            own = pa.array(key[starts] // FRAGMENTS)
-            yield pa.RecordBatch.from_arrays([batch.column("class").take(own), batch.column("n").take(own), pa.array((key[starts] % FRAGMENTS).astype(np.int32)), lists], names=["class", "n", "fragment", "grams"])
+            own = key[starts] // FRAGMENTS
+            yield pa.RecordBatch.from_arrays([pa.array(classes[own]), pa.array(sizes[own]), pa.array((key[starts] % FRAGMENTS).astype(np.int32)), lists], names=["class", "n", "fragment", "grams"])
 
-    rows = sets.where("n > 0").select("class", "n", "grams", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot"))
+    rows = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot"))
     return rows.mapInArrow(run, "class long, n long, fragment int, grams array<long>").dropDuplicates(["class", "fragment"])
 
 
@@ -310,19 +337,21 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     union. component_id is the smallest doc_id reachable. Rows that repeat a doc_id are documents of their own with
     that id; a null doc_id sorts first and is returned as null. Other columns are ignored; an empty table gives no rows.
     """
-    sets = written(with_sets(docs, n))
+    docs = _plain(docs)
+    found = written(survey(docs, n))
+    sets = found.where("gram IS NULL").select("doc_id", "n", "class")
     representatives = written(sets.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")))
-    levels = sets.sparkSession.sparkContext.broadcast(common_levels(sets))
-    groups = written(shared_groups(prefix_rows(sets, levels, percent)))
+    levels = docs.sparkSession.sparkContext.broadcast(common_levels(found))
+    groups = written(shared_groups(prefix_rows(docs, levels, n, percent)))
     pairs = written(pivot_pairs(groups, percent))
-    found = written(links(pairs, fragments_of(sets, representatives, pairs, levels), percent))
+    first = written(links(pairs, fragments_of(docs, representatives, pairs, levels, n), percent))
     # Labels of classes that a link or two lead to: equal labels mean a path of links.
-    one = found.groupBy(F.col("b").alias("class")).agg(F.min("a").alias("label"))
+    one = first.groupBy(F.col("b").alias("class")).agg(F.min("a").alias("label"))
     two = one.join(one.select(F.col("class").alias("label"), F.col("label").alias("next")), "label", "left")
     near = two.select("class", F.coalesce("next", "label").alias("label"))
     rest = written(cross_pairs(groups, near, percent).join(pairs, ["a", "b"], "left_anti"))
-    more = links(rest, fragments_of(sets, representatives, rest, levels), percent)
-    edges = written(found.union(more))
+    more = links(rest, fragments_of(docs, representatives, rest, levels, n), percent)
+    edges = written(first.union(more))
     labels = components(edges)
     degree = edges.select("a").union(edges.select("b")).groupBy(F.col("a").alias("class")).agg(F.count("*").alias("n_links"))
     smallest = labels.join(representatives, "class").groupBy("label").agg(F.min("doc_id").alias("component_id"))
