@@ -59,8 +59,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_context_mixing, op2_fingerprints, op3_jaccard, op4_quality, op5_line_dedup, op6_language, op7_mixing, op8_chat, op9_packing, op10_token_counts)}
 
 
-#: Expressions of DuckDB.
-WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+OP4 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce('s' || source, 'n') AS host FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT doc_id, i, list_slice(ws, i, i + 4) AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 4)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, sum(least(5, coalesce(gap, 5))) AS n FROM (SELECT doc_id, lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i AS gap FROM r) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+      length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+      FROM w LEFT JOIN c USING (doc_id)),
+l AS (SELECT doc_id, host, text, lower(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))) AS key, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT doc_id, host, text, unnest(ls) AS line FROM w)),
+h AS (SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host),
+f AS (SELECT host, key, min(doc_id) AS first_doc FROM l JOIN h USING (host) GROUP BY host, key, docs HAVING count(DISTINCT text) > 50 AND count(DISTINCT text) > 0.1 * docs),
+x AS (SELECT l.doc_id, sum(n)::BIGINT AS removed_words FROM l JOIN f USING (host, key) WHERE l.doc_id <> f.first_doc GROUP BY l.doc_id),
+b AS (SELECT m.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce(removed_words, 0)::BIGINT AS removed_words FROM m LEFT JOIN x USING (doc_id))
+SELECT *, NOT base_failed AND NOT (removed_words > 0 AND n_words - removed_words < 10 AND n_words - removed_words < 0.2 * n_words) AS kept FROM b
+"""
 
 OP5 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -88,4 +102,4 @@ FROM s GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5, "op8_chat": OP8}
+    return {"op4_quality": OP4, "op5_line_dedup": OP5, "op8_chat": OP8}
