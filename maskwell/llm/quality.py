@@ -119,7 +119,9 @@ def kept_documents(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float =
     removed = removed_words(docs.select("doc_id", "text", "source"), max_docs, max_share)
     lost = durable(removed)
     small = lost.count() <= BROADCAST_ROWS
-    measured = with_measures(docs).where(~F.col("base_failed"))
+    # The number keeps the filter above the measures: pushed below them, it would repeat them inside their own lambdas.
+    measured = with_measures(docs).withColumn("number", F.monotonically_increasing_id())
+    measured = measured.where(~F.col("base_failed") & (F.col("number") >= 0))
     same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (_host("row.source") == F.col("host")) & (F.xxhash64(_text("row.text")) == F.col("text_hash"))
     gone = same & depleted(F.col("n_words"), F.col("removed_words"))
     return measured.join(F.broadcast(lost) if small else lost, gone, "left_anti").select("row.*")
