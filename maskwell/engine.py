@@ -80,7 +80,7 @@ class Engine:
             message = str(getattr(error, "desc", None) or error).splitlines()[0]
             raise Denied("ANALYSIS", values.redact_message_text(message)) from None
         types: dict[lineage.Source, str] = {}
-        used = [n for n in sorted(tables) if f"`{n}`" in raw._jdf.queryExecution().analyzed().toString() or n in query.lower()]
+        used = sorted(lineage.tables(raw) & set(tables))
         for name in used:
             types |= {(name, c.lower()): k for c, k in self.catalog.types(database, name).items()}
         order = self.settings.precedence()

@@ -38,6 +38,7 @@ class Walk:
         #: Fields of attributes that are made as structs.
         self.fields: dict[int, dict[str, frozenset[Source]]] = {}
         self.sensitive = sensitive
+        self.tables: set[str] = set()
 
     # Expressions
 
@@ -92,6 +93,7 @@ class Walk:
         return [self.edges.get(a.exprId().id(), frozenset()) for a in sequence(plan.output())]
 
     def name_leaf(self, plan, table: str) -> None:
+        self.tables.add(table)
         for a in sequence(plan.output()):
             self.edges[a.exprId().id()] = frozenset([(table, a.name().lower())])
 
@@ -192,6 +194,13 @@ def trace(df: DataFrame, sensitive: Callable[[Iterable[Source]], bool] = lambda
     return list(zip([a.name() for a in sequence(plan.output())], found))
 
 
+def tables(df: DataFrame) -> set[str]:
+    """Names of all views that a query reads."""
+    walk = Walk(lambda found: False)
+    walk.outputs(df._jdf.queryExecution().analyzed())
+    return walk.tables
+
+
 def kind_of(source: Source, types: dict[Source, str], below: bool) -> list[str | None]:
     """Types of a source path: its own, else that of the nearest field around it, else (with `below`) those inside it."""
     table, path = source

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,14 +97,11 @@ def collection_view(database: str, name: str) -> str:
 def scan_table(df: DataFrame, columns: list[str], sample: int, threshold: float) -> dict[str, str]:
     """Types of text columns by the `sample` smallest distinct values of each, all columns in one job.
 
-    Each column's values are reduced to distinct ones on the executors; a rank over (column, value) keeps the first.
+    Each column is scanned alone (the reader prunes the others), made distinct on the executors and cut by a top-k
+    that holds `sample` values a task.
     """
-    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns))).alias("x")).select("x.*")
-    long = long.where(F.col("value").isNotNull()).distinct()
-    # The smallest values of each partition hold those of the whole column.
-    own = long.groupBy("column", F.pmod(F.xxhash64("value"), F.lit(64)).alias("part")).agg(F.slice(F.sort_array(F.collect_set("value")), 1, sample).alias("values"))
-    firsts = own.groupBy("column").agg(F.slice(F.sort_array(F.flatten(F.collect_list("values"))), 1, sample).alias("values"))
-    rows = firsts.select("column", F.explode("values").alias("value")).groupBy("column").agg(values.scanned(F.col("value"), threshold).alias("kind"))
+    firsts = [values.sample_values(df, c, sample).select(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]
+    rows = reduce(DataFrame.unionAll, firsts).groupBy("column").agg(values.scanned(F.col("value"), threshold).alias("kind"))
     return {r["column"]: r["kind"] for r in rows.collect() if r["kind"]}
 
 
