@@ -495,7 +495,12 @@ def rate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.rate_limit(requests(spark, sf_dir), limit=5, seconds=3600.0)
 
 
-add("rate_limit_decisions", rate_decisions)
+add("rate_limit_decisions", rate_decisions, """WITH RECURSIVE o AS (SELECT CAST(user_id % 7 AS VARCHAR) AS client, event_id AS request_id, CAST(floor(epoch(ts)) AS DOUBLE) AS "at" FROM events),
+    n AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY "at", request_id) AS i FROM o),
+    r AS (SELECT client, request_id, "at", i, true AS allowed, ["at"] AS log FROM n WHERE i = 1 UNION ALL
+          SELECT client, request_id, "at", i, len(log) < 5, CASE WHEN len(log) < 5 THEN list_append(log, "at") ELSE log END
+          FROM (SELECT n.*, list_filter(r.log, lambda x: n."at" - x < 3600) AS log FROM r JOIN n ON n.client = r.client AND n.i = r.i + 1))
+    SELECT client, request_id, "at", allowed FROM r""")
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
