@@ -13,7 +13,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.without_repeated_lines(docs, min_docs=10, min_chars=1)
+    # The first holder keeps a line: of many exact copies one is left.
+    return line_dedup.without_repeated_lines(docs, min_docs=10, min_chars=1, keep_first=True)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -128,10 +128,12 @@ def dropped_lines(docs: DataFrame, min_docs: int, min_chars: int, keep_first: bo
             lengths = np.diff(np.concatenate((starts, [len(rows["high"])])))
             drop = np.repeat(counts >= min_docs, lengths)
             if keep_first:
-                for s in starts:
+                for s, length in zip(starts.tolist(), lengths.tolist()):
                     key = int(rows["high"][s]), int(rows["low"][s])
-                    if begins.get(key, rows["doc_id"][s]) == rows["doc_id"][s]:
-                        drop[s] = False
+                    if drop[s] and begins.get(key, rows["doc_id"][s]) == rows["doc_id"][s]:
+                        # Rows that repeat doc_id and text share a bitmap, so the line stays in all of them.
+                        own = slice(s, s + length)
+                        drop[own] = ~np.logical_and.reduce([rows[c][own] == rows[c][s] for c in ("doc_id", "text_hash", "position")])
             columns = {k: v[drop] for k, v in rows.items()}
             yield pa.RecordBatch.from_arrays([pa.array(columns[c]) for c in ("doc_id", "text_hash", "position", "n_lines")], names=["doc_id", "text_hash", "position", "n_lines"])
 
