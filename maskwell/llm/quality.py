@@ -64,12 +64,16 @@ def with_measures(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
+def line_hash(line: Column) -> Column:
+    return F.xxhash64(F.lower(F.trim(line, F.lit(BLANKS))))
+
+
 def host_lines(docs: DataFrame) -> DataFrame:
     """A row for every line with a word: its document, host, normalised hash and number of words."""
     key = [F.col("doc_id").cast("long").alias("doc_id"), _host().alias("host"), F.xxhash64(_text()).alias("text_hash")]
     lines = docs.select(*key, F.explode(F.split(_text(), "\n")).alias("line")).where(F.col("line").rlike(WORD))
     words = F.regexp_count("line", F.lit(WORD)).cast("long")
-    return lines.select("doc_id", "host", "text_hash", F.xxhash64(F.lower(F.trim(F.col("line"), F.lit(BLANKS)))).alias("line_hash"), words.alias("words"))
+    return lines.select("doc_id", "host", "text_hash", line_hash(F.col("line")).alias("line_hash"), words.alias("words"))
 
 
 def frequent_lines(docs: DataFrame, max_docs: int, max_share: float) -> DataFrame:
@@ -84,14 +88,24 @@ def frequent_lines(docs: DataFrame, max_docs: int, max_share: float) -> DataFram
     return counted.join(hosts, "host").where(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "line_hash", "n_docs", "first_doc")
 
 
-def removed_words(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """Per document with frequent lines: doc_id, host, text_hash and the words in those lines. The document that
-    holds a line first keeps it."""
+def lost_lines(docs: DataFrame, max_docs: int, max_share: float) -> DataFrame:
+    """The rows of host_lines() that their documents lose. The document that holds a line first keeps it."""
     frequent = frequent_lines(docs, max_docs, max_share)
-    lines = host_lines(docs).join(frequent, ["host", "line_hash"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    return host_lines(docs).join(frequent, ["host", "line_hash"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+
+
+def removed_words(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """Per document with frequent lines: doc_id, host, text_hash and the words in those lines."""
+    lines = lost_lines(docs, max_docs, max_share)
     return lines.groupBy("doc_id", "host", "text_hash").agg(F.sum("words").alias("removed_words"), F.count("*").alias("removed_lines"))
 
 
+def text_without(text: Column, hashes: Column) -> Column:
+    """The text without its lines of these hashes; lines without a word stay."""
+    stay = lambda line: ~line.rlike(WORD) | ~F.array_contains(hashes, line_hash(line))
+    return F.array_join(F.filter(F.split(text, "\n"), stay), "\n")
+
+
 def depleted(n_words: Column, removed: Column, min_words: int = MIN_WORDS, min_stay: float = MIN_STAY) -> Column:
     stay = n_words - removed
     return (removed > 0) & (stay < min_words) & (stay < min_stay * n_words)
@@ -115,13 +129,19 @@ def quality(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SH
 
 
 def kept_documents(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """The rows of `docs` that quality() keeps, with the columns of `docs`."""
-    removed = removed_words(docs.select("doc_id", "text", "source"), max_docs, max_share)
-    lost = durable(removed)
-    small = lost.count() <= BROADCAST_ROWS
+    """The rows of `docs` that quality() keeps, with the columns of `docs`: the host's frequent lines taken out of text
+    (but for the document that holds a line first) and n_chars set anew."""
+    lines = lost_lines(docs.select("doc_id", "text", "source"), max_docs, max_share)
+    lost = durable(lines.groupBy("doc_id", "host", "text_hash").agg(F.sum("words").alias("removed_words"), F.collect_set("line_hash").alias("hashes")))
+    small = lost.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0] <= BROADCAST_ROWS
     # The number keeps the filter above the measures: pushed below them, it would repeat them inside their own lambdas.
     measured = with_measures(docs).withColumn("number", F.monotonically_increasing_id())
-    measured = measured.where(~F.col("base_failed") & (F.col("number") >= 0))
+    measured = measured.where(~F.col("base_failed") & (F.col("number") >= 0)).select("row", "n_words")
     same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (_host("row.source") == F.col("host")) & (F.xxhash64(_text("row.text")) == F.col("text_hash"))
-    gone = same & depleted(F.col("n_words"), F.col("removed_words"))
-    return measured.join(F.broadcast(lost) if small else lost, gone, "left_anti").select("row.*")
+    out = measured.join(F.broadcast(lost) if small else lost, same, "left")
+    out = out.where(F.col("hashes").isNull() | ~depleted(F.col("n_words"), F.col("removed_words")))
+    text = F.when(F.col("hashes").isNull(), F.col("row.text")).otherwise(text_without(_text("row.text"), F.col("hashes")))
+    out = out.select(F.col("row").withField("text", text).alias("row"))
+    if "n_chars" in docs.columns:
+        out = out.select(F.col("row").withField("n_chars", F.char_length("row.text").cast("long")).alias("row"))
+    return out.select("row.*")

@@ -145,6 +145,17 @@ def test_depleted_documents_go(spark):
     assert kept == {0, 200, *range(100, 110)}
 
 
+def test_frequent_lines_are_taken_out_of_kept_documents(spark):
+    nav = "Home about contact terms privacy"
+    own = {i: " ".join(f"u{i}v{k}" for k in range(30)) for i in range(20)}
+    table = [(i, f"  {nav.upper()} \n\n{own[i]}\n{nav}", "en", "h", 0) for i in range(20)] + [(50, f"{nav}\n{own[3]}", "en", "other", 0)]
+    docs = documents(spark, extra=True, table=table)
+    out = quality.kept_documents(docs, max_docs=5, max_share=0.1)
+    assert out.columns == docs.columns
+    want = {i: f"\n{own[i]}" for i in range(1, 20)} | {0: table[0][1], 50: table[20][1]}
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()} == {i: (t, len(t)) for i, t in want.items()}
+
+
 # 5
 
 
