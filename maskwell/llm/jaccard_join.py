@@ -32,6 +32,10 @@ COMMON = 4
 FRAGMENTS = 8
 #: N-grams counted together in one task.
 COUNTED = 2_000_000
+#: Of a component's blocks: classes in a block from the least to the most, blocks until the most, n-grams in a block.
+LEAST, MOST, BLOCKS, BLOCK_GRAMS = 64, 1024, 32, 1_000_000
+#: Columns of a dense matrix of n-grams.
+COLUMNS = 4096
 
 
 def gram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -329,18 +333,65 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of `docs`: doc_id, n_shingles, n_links (of its class, to other classes) and component_id.
+def overlaps(grams: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many n-grams the sets `left` share with the sets `right`; grams[i] is in set owner[i]."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    _, code, count = np.unique(grams, return_inverse=True, return_counts=True)
+    shared = count > 1
+    code, owner = (np.cumsum(shared) - 1)[code[shared[code]]], owner[shared[code]]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    for first in range(0, int(shared.sum()), COLUMNS):
+        start, stop = np.searchsorted(code, (first, first + COLUMNS))
+        held = np.zeros((int(max(left.max(), right.max())) + 1, COLUMNS), np.float32)
+        held[owner[start:stop], code[start:stop] - first] = 1
+        out += (held[left] @ held[right].T).astype(np.int64)
+    return out
 
-    A document's set is that of its n-word shingles (A-Z lower-cased), or its whole sequence of fewer words; documents
-    without words have none and are linked with nothing. Two documents link when 100 * intersection >= percent *
-    union. component_id is the smallest doc_id reachable. Rows that repeat a doc_id are documents of their own with
-    that id; a null doc_id sorts first and is returned as null. Other columns are ignored; an empty table gives no rows.
+
+def link_counts(docs: DataFrame, representatives: DataFrame, labels: DataFrame, edges: DataFrame, levels, n: int, percent: int) -> DataFrame:
+    """(class, n_links) of every class with an edge: to how many other classes it is similar enough.
+
+    `edges` leave out pairs of which a path of links was known. All links are inside components. Where a component's
+    edges are all its pairs, they are counted; the classes of others are dealt to blocks by hash, and every two blocks
+    are compared in one task, which gives a row per class and not per pair.
     """
+    sized = labels.join(representatives.select("class", "n"), "class")
+    known = edges.join(labels.withColumnRenamed("class", "a"), "a").groupBy("label").agg(F.count("*").alias("known"))
+    blocks = F.greatest(F.ceil(F.col("k") / MOST), F.least(F.lit(BLOCKS), F.ceil(F.col("k") / LEAST)), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
+    groups = sized.groupBy("label").agg(F.count("*").alias("k"), F.sum("n").alias("grams")).join(known, "label")
+    groups = groups.select("label", "k", blocks.alias("blocks"), (2 * F.col("known") == F.col("k") * (F.col("k") - 1)).alias("whole"))
+    dealt = written(labels.join(groups, "label"))
+    open_ = dealt.where(~F.col("whole")).select("class", "label", "blocks", F.pmod(F.xxhash64("class"), F.col("blocks").cast("long")).cast("int").alias("block"))
+    wanted = open_.select(F.col("class").alias("a"), F.col("class").alias("b"))
+    sets = fragments_of(docs, representatives, wanted, levels, n).groupBy("class").agg(F.flatten(F.collect_list("grams")).alias("grams"))
+    sent = open_.join(sets, "class").select("class", "label", "block", "grams", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    sent = sent.select("class", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "grams")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        low, high = key[1].as_py(), key[2].as_py()
+        block, class_ = table.column("block").to_numpy(), table.column("class").to_numpy()
+        lists = table.column("grams").combine_chunks()
+        size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        found = np.zeros(len(class_), np.int64)
+        if len(left) and len(right):
+            overlap = overlaps(lists.flatten().to_numpy(), np.repeat(np.arange(len(size)), size), left, right)
+            near = (100 * overlap >= percent * (size[left][:, None] + size[right] - overlap)) & (left[:, None] != right)
+            found[left] += near.sum(1)
+            if low != high:
+                found[right] += near.sum(0)
+        return pa.table([pa.array(class_), pa.array(found)], names=["class", "n_links"])
+
+    counted = sent.groupBy("label", "low", "high").applyInArrow(run, "class long, n_links long").groupBy("class").agg(F.sum("n_links").alias("n_links"))
+    return dealt.where("whole").select("class", (F.col("k") - 1).alias("n_links")).union(counted)
+
+
+def _similar(docs: DataFrame, n: int, percent: int, counted: bool) -> DataFrame:
     docs = _plain(docs)
     found = written(survey(docs, n))
     sets = found.where("gram IS NULL").select("doc_id", "n", "class")
-    representatives = written(sets.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")))
+    representatives = written(sets.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
     levels = docs.sparkSession.sparkContext.broadcast(common_levels(found))
     groups = written(shared_groups(prefix_rows(docs, levels, n, percent)))
     pairs = written(pivot_pairs(groups, percent))
@@ -353,7 +404,7 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     more = links(rest, fragments_of(docs, representatives, rest, levels, n), percent)
     edges = written(first.union(more))
     labels = components(edges)
-    degree = edges.select("a").union(edges.select("b")).groupBy(F.col("a").alias("class")).agg(F.count("*").alias("n_links"))
+    degree = link_counts(docs, representatives, labels, edges, levels, n, percent) if counted else labels.select("class", F.lit(None).cast("long").alias("n_links"))
     smallest = labels.join(representatives, "class").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     linked = labels.join(smallest, "label").join(degree, "class").select("class", "component_id", "n_links")
     classes = representatives.join(linked, "class", "left").select("class", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -362,6 +413,17 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     return out.select(plain(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), plain(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of `docs`: doc_id, n_shingles, n_links (of its class, to all other classes) and component_id.
+
+    A document's set is that of its n-word shingles (A-Z lower-cased), or its whole sequence of fewer words; documents
+    without words have none and are linked with nothing. Two documents link when 100 * intersection >= percent *
+    union. component_id is the smallest doc_id reachable. Rows that repeat a doc_id are documents of their own with
+    that id; a null doc_id sorts first and is returned as null. Other columns are ignored; an empty table gives no rows.
+    """
+    return _similar(docs, n, percent, True)
+
+
 #: Rows of a list of dropped documents that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -369,7 +431,7 @@ BROADCAST_ROWS = 1_000_000
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` whose doc_id is the smallest of their component. Documents without words stay, and rows
     that repeat a doc_id stay or go together."""
-    found = similar_components(docs.select("doc_id", "text"), n, percent)
+    found = _similar(docs.select("doc_id", "text"), n, percent, False)
     gone = written(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct())
     small = gone.count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")

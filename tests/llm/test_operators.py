@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from maskwell.llm import chat, context_mixing, fingerprint, jaccard_join, language_id, line_dedup, mixing, packing, quality, token_counts
 
-from .cases import CLASHING, DOCS, LOWER, documents, fold, rows, words
+from .cases import CLASHING, DOCS, LOWER, documents, fold, rows, sentence, words
 
 TEXTS = {r[0]: r[1] for r in rows()}
 
@@ -119,6 +119,25 @@ def test_chains_of_near_copies(spark):
     assert [r["doc_id"] for r in kept.collect()] == [0]
 
 
+def test_links_are_all_counted(spark):
+    base = sentence(3, 120).split()
+    texts = dict(TEXTS)
+    for i in range(150):  # near one another; every fifth far from some
+        own = list(base)
+        own[(11 * i) % 119] = f"new{i}"
+        texts[1000 + i] = " ".join(own[: 120 - 4 * (i % 5)])
+    texts[2000] = texts[1000]
+    got = jaccard_join.similar_components(documents(spark, table=[(i, t, None, None, 0) for i, t in texts.items()]))
+    sets = {}
+    for i, t in texts.items():
+        own = words((t or "").translate(LOWER))
+        sets[i] = frozenset(tuple(own[k : k + 5]) for k in range(max(1, len(own) - 4))) if own else frozenset()
+    distinct = set(sets.values()) - {frozenset()}
+    want = {s: sum(100 * len(s & o) >= 80 * len(s | o) for o in distinct if o != s) for s in distinct}
+    assert {r["doc_id"]: r["n_links"] for r in got.collect()} == {i: want.get(s, 0) for i, s in sets.items()}
+    assert max(want.values()) > 50 and len(set(want.values())) > 5
+
+
 # 4
 
 
