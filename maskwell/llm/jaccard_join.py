@@ -6,9 +6,11 @@ n-gram among the first of each (its prefix), so documents that meet in no prefix
 meet are compared fragment by fragment: the order is cut into ranges, each fragment's overlap is counted separately,
 and the counts are summed per pair.
 
-Documents of equal sets form a class, and one row per class is compared. In a prefix n-gram's group all classes are
-first compared with one pivot, which links most copies in a number of pairs linear in the rows; then only pairs that
-these links have not joined.
+Documents of equal sets form a class, and one row per class is compared. In a prefix n-gram's group all classes first
+meet one pivot, the class with the fewest n-grams that no other has, which links most copies in a number of pairs linear
+in the rows. Components of those links follow, and only classes of different components go on: those of small ones
+are paired, and those that may be linked with a large component are compared with all of it, block by block, which
+gives a row per link found and none per pair.
 """
 
 from __future__ import annotations
@@ -19,19 +21,24 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, chunks, durable, words_of, written
 
-#: Slots of the sketch of common n-grams (a byte each, broadcast), and of the filters of documents to compare (a bit each).
-SLOTS = 1 << 23
+#: Slots of the sketch of common n-grams (a byte each, broadcast), and of the smallest and largest filter of documents to
+#: compare (a bit each; 32 slots a document as long as that is below the largest).
+SLOTS, MOST_SLOTS = 1 << 23, 1 << 28
 #: N-grams found so often, counting only tasks that hold them twice, are common.
 COMMON = 4
 #: Ranges of the global order.
 FRAGMENTS = 8
 #: N-grams counted together in one task.
 COUNTED = 2_000_000
+#: Classes of a component from which on it is compared as a whole, and rows of a group that are compared in one task.
+LARGE, GROUP = 16, 4096
+#: Pivot steps at most; they end when few pairs are left, counted in rows of the groups.
+STEPS, FEW = 3, 8
 #: Of a component's blocks: classes in a block from the least to the most, blocks until the most, n-grams in a block.
 LEAST, MOST, BLOCKS, BLOCK_GRAMS = 64, 1024, 32, 1_000_000
 #: Columns of a dense matrix of n-grams.
@@ -155,15 +162,20 @@ def prefix_rows(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "gram long, class long, n long, position long")
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Rows sorted by gram, in pieces that hold whole groups."""
+def _changes(rows: dict[str, np.ndarray], key: list[str]) -> np.ndarray:
+    """Whether each row starts a group of its own."""
+    return np.concatenate(([True], np.any([np.diff(rows[c]) != 0 for c in key], axis=0)))
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Rows sorted by key, in pieces that hold whole groups."""
     held: list[dict[str, np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = {c: batch.column(c).to_numpy() for c in batch.schema.names}
-        cut = int(np.searchsorted(rows["gram"], rows["gram"][-1]))
-        if cut == 0 and (not held or held[0]["gram"][0] == rows["gram"][0]):
+        cut = int(np.flatnonzero(_changes(rows, key))[-1])
+        if cut == 0 and (not held or all(held[0][c][0] == rows[c][0] for c in key)):
             held.append(rows)
             continue
         ready = [*held, {c: v[:cut] for c, v in rows.items()}]
@@ -179,10 +191,11 @@ def _need(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _hopeful(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs that their sizes and the n-gram's positions in the order allow to be similar enough."""
-    n, m = rows["n"][a], rows["n"][b]
+    """Pairs that their sizes and the n-gram's positions allow to be similar enough, as hopeful()."""
+    n, m, p, q = rows["n"][a], rows["n"][b], rows["position"][a], rows["position"][b]
     fits = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-    return fits & (np.minimum(n - rows["position"][a], m - rows["position"][b]) + np.minimum(rows["position"][a], rows["position"][b]) >= _need(n, m, percent))
+    rest = (percent * np.maximum(n, m) + 99) // 100 - 1
+    return fits & (np.minimum(rows["matched"][a] - p, rows["matched"][b] - q) + np.minimum(p, q) + rest >= _need(n, m, percent))
 
 
 PAIR = "a long, b long, n_a long, n_b long, shared long"
@@ -200,66 +213,112 @@ def _pairs(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (p[new], q[new], n[new], m[new], shared)], names=["a", "b", "n_a", "n_b", "shared"])
 
 
+def rest_of(n: Column, percent: int) -> Column:
+    """How many n-grams of a set of this size come after its prefix."""
+    return F.floor((percent * n + 99) / 100).cast("long") - 1
+
+
+def need_of(n: Column, m: Column, percent: int) -> Column:
+    return F.ceil(percent * (n + m) / (100 + percent))
+
+
 def likely(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose number of shared prefix n-grams leaves the least overlap possible.
 
     What two sets share is in both prefixes, or comes after the end of one prefix in the order, and of that there is
     no more than the rest of that set."""
     summed = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
-    rest = lambda n: F.floor((percent * n + 99) / 100).cast("long") - 1
-    need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    return summed.where(F.col("shared") + F.greatest(rest(F.col("n_a")), rest(F.col("n_b"))) >= need).select("a", "b")
+    n, m = F.col("n_a"), F.col("n_b")
+    return summed.where(F.col("shared") + rest_of(F.greatest(n, m), percent) >= need_of(n, m, percent)).select("a", "b")
 
 
 def shared_groups(prefixes: DataFrame) -> DataFrame:
-    """Prefix rows of n-grams that two classes or more share; one row per class."""
-    n = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Prefix rows of n-grams that two classes or more share, one per class: (gram, class, n, position, matched).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _grouped(batches):
-            new = np.concatenate(([True], (np.diff(rows["gram"]) != 0) | (np.diff(rows["class"]) != 0)))
-            rows = {c: v[new] for c, v in rows.items()}
-            same = np.diff(rows["gram"]) == 0
-            shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            yield pa.RecordBatch.from_arrays([pa.array(rows[c][shared]) for c in ("gram", "class", "n", "position")], names=["gram", "class", "n", "position"])
+    `position` counts such n-grams only, and `matched` is how many of them the class has. A large group's rows meet in
+    joins and sums, which need them in no single task; a class's rows are those of one document.
+    """
+    rows = prefixes.groupBy("gram", "class").agg(F.min("n").alias("n"), F.min("position").alias("position"))
+    shared = rows.groupBy("gram").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("gram")
+    own = Window.partitionBy("class")
+    place = (F.row_number().over(own.orderBy("position", "gram")) - 1).cast("long")
+    return rows.join(shared, "gram").select("gram", "class", "n", place.alias("position"), F.count("*").over(own).alias("matched"))
 
-    return prefixes.repartition(n, "gram").sortWithinPartitions("gram", "class").mapInArrow(run, "gram long, class long, n long, position long")
 
+def hopeful(percent: int) -> Column:
+    """Whether sizes and an n-gram's positions allow a row's class and its pivot to be similar enough.
 
-def pivot_pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """Each class of a group with the group's pivot, its smallest set."""
-    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    Of the n-grams that both prefixes hold, no more come before this one than either's position says, and no more
+    from it on than either has left; others come after the end of one prefix."""
+    n, m, p, q = (F.col(c) for c in ("n", "p_n", "position", "p_position"))
+    fits = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    most = F.least(F.col("matched") - p, F.col("p_matched") - q) + F.least(p, q) + rest_of(F.greatest(n, m), percent)
+    return fits & (most >= need_of(n, m, percent))
+
+
+def open_groups(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of groups in which components still differ, with label and k (classes) of their component."""
+    sizes = labels.groupBy("label").agg(F.count("*").alias("k"))
+    labelled = groups.join(labels.join(sizes, "label"), "class", "left").withColumns({"label": F.coalesce("label", "class"), "k": F.coalesce("k", F.lit(1))})
+    differ = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
+    return written(labelled.join(differ, "gram"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _grouped(batches):
-            first = np.concatenate(([True], np.diff(rows["gram"]) != 0))
-            pivot = np.flatnonzero(first)[np.cumsum(first) - 1]
-            other = np.arange(len(pivot))
-            keep = (pivot != other) & _hopeful(rows, pivot, other, percent)
-            yield _pairs([(rows["class"][pivot[keep]], rows["class"][other[keep]], rows["n"][pivot[keep]], rows["n"][other[keep]])])
 
-    return likely(groups.repartition(n, "gram").sortWithinPartitions("gram", "n", "class").mapInArrow(run, PAIR), percent)
+def pairs_left(small: DataFrame) -> tuple[int, int]:
+    """Rows of groups, and pairs of them with different labels."""
+    own = small.groupBy("gram", "label").agg(F.count("*").cast("double").alias("c"))
+    each = own.groupBy("gram").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"))
+    found = each.agg(F.sum("m").alias("rows"), (F.sum(F.col("m") * F.col("m") - F.col("same")) / 2).alias("pairs")).first()
+    return found["rows"] or 0, found["pairs"] or 0
 
 
-def cross_pairs(groups: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a group whose labels differ. Equal labels: known to be linked, so the pair adds nothing."""
+def pivot_pairs(groups: DataFrame, step: int, percent: int) -> DataFrame:
+    """Each class of a group with the group's pivot of this step, if their labels differ: a row per row at most.
+
+    The first step's pivot is the class with the smallest share of prefix n-grams that no other class has; later ones are
+    first by a hash. The order is the same in all groups, so a class that is a pivot is one wherever it can be. A pivot's
+    rows and the others' meet in a join, which can split a large group.
+    """
+    lost = F.floor(1000 * (F.col("n") - rest_of(F.col("n"), percent) - F.col("matched")) / F.col("n")).cast("long") if step == 0 else F.lit(0).cast("long")
+    rows = groups.withColumn("order", F.shiftleft(lost, 50) + F.shiftrightunsigned(F.xxhash64("class", F.lit(step)), 14))
+    first = rows.groupBy("gram").agg(F.min("order").alias("order"))
+    pivots = rows.join(first, ["gram", "order"]).select("gram", *(F.col(c).alias(f"p_{c}") for c in ("class", "n", "position", "matched", "label")))
+    met = rows.join(pivots, "gram").where((F.col("label") != F.col("p_label")) & hopeful(percent))
+    low = F.col("class") < F.col("p_class")
+    pick = lambda x, y, name: F.when(low, F.col(x)).otherwise(F.col(y)).alias(name)
+    pairs = met.select(pick("class", "p_class", "a"), pick("p_class", "class", "b"), pick("n", "p_n", "n_a"), pick("p_n", "n", "n_b"))
+    return likely(pairs.withColumn("shared", F.lit(1)), percent)
+
+
+def cross_pairs(groups: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a group whose labels differ. Equal labels: known to be linked, so the pair adds nothing.
+
+    A large group is dealt to blocks by hash, and every two blocks are compared in a task of their own.
+    """
     n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    labelled = groups.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    sizes = groups.groupBy("gram").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
+    dealt = groups.join(sizes, "gram").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks").cast("long")).cast("int"))
+    sent = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    key = ["gram", "low", "high"]
+    sent = sent.select("gram", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "class", "n", "position", "matched", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _grouped(batches):
-            starts = np.flatnonzero(np.concatenate(([True], np.diff(rows["gram"]) != 0)))
+        for rows in _grouped(batches, key):
+            starts = np.flatnonzero(_changes(rows, key))
             stops = np.append(starts[1:], len(rows["gram"]))
             found, waiting = [], 0
             for start, stop in zip(starts.tolist(), stops.tolist()):
-                label = rows["label"][start:stop]
+                label, block = rows["label"][start:stop], rows["block"][start:stop]
                 if label[0] == label[-1]:  # sorted by label
                     continue
                 ends = start + np.searchsorted(label, label, "right")
+                across = rows["low"][start] != rows["high"][start]
                 for i in range(start, stop):
                     b = np.arange(int(ends[i - start]), stop)
                     if not len(b):
                         break
+                    if across:  # pairs inside a block are found where it meets itself
+                        b = b[rows["block"][b] != block[i - start]]
                     b = b[_hopeful(rows, np.full(len(b), i), b, percent)]
                     found.append((np.full(len(b), rows["class"][i]), rows["class"][b], np.full(len(b), rows["n"][i]), rows["n"][b]))
                     waiting += len(b)
@@ -269,24 +328,45 @@ def cross_pairs(groups: DataFrame, labels: DataFrame, percent: int) -> DataFrame
             if found:
                 yield _pairs(found)
 
-    pairs = labelled.repartition(n, "gram").sortWithinPartitions("gram", "label", "class").select("gram", "class", "n", "position", "label").mapInArrow(run, PAIR)
+    pairs = sent.repartition(n, *key).sortWithinPartitions(*key, "label", "class").mapInArrow(run, PAIR)
     return likely(pairs, percent)
 
 
-def fragments_of(docs: DataFrame, representatives: DataFrame, pairs: DataFrame, levels, n: int) -> DataFrame:
-    """(class, n, fragment, grams) of the classes in `pairs`, made again from one document's text each.
+def partners(groups: DataFrame, percent: int) -> DataFrame:
+    """(label, class): the classes that may be linked with a class of another, large component. Of two large
+    components the smaller one's classes are partners of the other."""
+    large = groups.where(F.col("k") >= LARGE).groupBy("gram", F.col("label").alias("of"), F.col("k").alias("of_k")).agg(F.max("matched").alias("most"), F.min("n").alias("low"), F.max("n").alias("high"))
+    n, low, high = F.col("n"), F.col("low"), F.col("high")
+    apart = (F.col("of") != F.col("label")) & ((F.col("k") < F.col("of_k")) | ((F.col("k") == F.col("of_k")) & (F.col("label") < F.col("of"))))
+    fits = (100 * n >= percent * low) & (100 * high >= percent * n)
+    least = need_of(n, F.greatest(low, F.ceil(percent * n / 100)), percent)
+    most = F.least(F.col("matched"), F.col("most")) + rest_of(F.greatest(n, F.least(high, F.floor(100 * n / percent))), percent)
+    return groups.join(large, "gram").where(apart & fits & (most >= least)).select(F.col("of").alias("label"), "class").distinct()
 
-    A filter of SLOTS bits picks the documents, so that no other set is made; what it lets through by chance
-    finds no pair.
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class")))
+
+
+def fragments_of(docs: DataFrame, representatives: DataFrame, wanted: DataFrame, levels, n: int) -> DataFrame:
+    """(class, n, fragment, grams) of the classes in `wanted`, made again from one document's text each.
+
+    A filter of bits picks the documents, so that nearly no other set is made; what it lets through by chance finds
+    no pair.
     """
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    spots = wanted.join(representatives, "class").select(F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot"), F.lit(1).alias("one"))
-    chosen = docs.sparkSession.sparkContext.broadcast(slot_table(spots, "slot", "one", SLOTS, True))
+    spots = written(wanted.distinct().join(representatives, "class").select("doc_id"))
+    slots = int(np.clip(1 << (32 * spots.count()).bit_length(), SLOTS, MOST_SLOTS))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots))
+    chosen = docs.sparkSession.sparkContext.broadcast(slot_table(spots.select(slot.alias("slot"), F.lit(1).alias("one")), "slot", "one", slots, True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, bits = levels.value, np.unpackbits(chosen.value)
-        wanted = (b.filter(pa.array(bits[b.column("slot").to_numpy()].astype(bool))) for b in batches)
-        for batch in chunks(wanted):
+        level, bits = levels.value, chosen.value
+
+        def picked(batch: pa.RecordBatch) -> pa.RecordBatch:
+            at = batch.column("slot").to_numpy()
+            return batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+
+        for batch in chunks(map(picked, batches)):
             sets = [s for s in gram_sets(batch.column("text"), n) if len(s)]
             if not sets:
                 continue
@@ -301,7 +381,7 @@ def fragments_of(docs: DataFrame, representatives: DataFrame, pairs: DataFrame,
             own = key[starts] // FRAGMENTS
             yield pa.RecordBatch.from_arrays([pa.array(classes[own]), pa.array(sizes[own]), pa.array((key[starts] % FRAGMENTS).astype(np.int32)), lists], names=["class", "n", "fragment", "grams"])
 
-    rows = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot"))
+    rows = docs.select("text", slot.alias("slot"))
     return rows.mapInArrow(run, "class long, n long, fragment int, grams array<long>").dropDuplicates(["class", "fragment"])
 
 
@@ -349,7 +429,52 @@ def overlaps(grams: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.n
     return out
 
 
-def link_counts(docs: DataFrame, representatives: DataFrame, labels: DataFrame, edges: DataFrame, levels, n: int, percent: int) -> DataFrame:
+def block_of(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("class"), F.col(blocks).cast("long")).cast("int")
+
+
+def blocks_for(k: str, grams: str) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.col(k) / MOST), F.ceil(F.col(grams) / BLOCK_GRAMS)).cast("int")
+
+
+def partner_links(pairs: DataFrame, labels: DataFrame, sets: DataFrame, representatives: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each partner of a large component and block of it, a link that joins them, if there is one.
+
+    The component's classes and its partners are dealt to blocks, and every two blocks meet in one task, where
+    overlaps are counted range by range of the n-grams and summed per pair."""
+    size = representatives.select("class", "n")
+    members = labels.join(pairs.select("label").distinct(), "label").join(size, "class").select("label", "class", "n", F.lit(False).alias("guest"))
+    guests = pairs.join(size, "class").select("label", "class", "n", F.lit(True).alias("guest"))
+    both = members.union(guests)
+    sums = [F.sum(F.when(F.col("guest") == F.lit(g), x).otherwise(F.lit(0))).alias(f"{name}{g:d}") for g in (False, True) for name, x in (("k", F.lit(1)), ("g", F.col("n")))]
+    counts = both.groupBy("label").agg(*sums).select("label", blocks_for("k0", "g0").alias("own_blocks"), blocks_for("k1", "g1").alias("guest_blocks"))
+    dealt = both.join(counts, "label").withColumn("at", F.when(F.col("guest"), block_of("guest_blocks")).otherwise(block_of("own_blocks")))
+    sent = dealt.join(sets, "class").select("label", "class", "guest", "at", "grams", F.explode(F.sequence(F.lit(0), F.when(F.col("guest"), F.col("own_blocks")).otherwise(F.col("guest_blocks")) - 1)).alias("other"))
+    sent = sent.select("label", "class", "guest", F.when(F.col("guest"), F.col("other")).otherwise(F.col("at")).alias("own"), F.when(F.col("guest"), F.col("at")).otherwise(F.col("other")).alias("visit"), "grams")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        guest, class_ = table.column("guest").to_numpy(), table.column("class").to_numpy()
+        near, left, right = similar_rows(table, ~guest, guest, percent)
+        hit = near.any(0) if len(left) else np.zeros(len(right), bool)
+        own = left[near.argmax(0)[hit]] if hit.any() else np.zeros(0, np.int64)
+        x, y = class_[own], class_[right[hit]]
+        return pa.table([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return sent.groupBy("label", "own", "visit").applyInArrow(run, "a long, b long")
+
+
+def similar_rows(table: pa.Table, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each of a table's left rows is similar enough to each right row, and the rows' numbers."""
+    lists = table.column("grams").combine_chunks()
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    left, right = np.flatnonzero(left), np.flatnonzero(right)
+    if not len(left) or not len(right):
+        return np.zeros((len(left), len(right)), bool), left, right
+    overlap = overlaps(lists.flatten().to_numpy(), np.repeat(np.arange(len(size)), size), left, right)
+    return (100 * overlap >= percent * (size[left][:, None] + size[right] - overlap)) & (left[:, None] != right), left, right
+
+
+def link_counts(sets: DataFrame, representatives: DataFrame, labels: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
     """(class, n_links) of every class with an edge: to how many other classes it is similar enough.
 
     `edges` leave out pairs of which a path of links was known. All links are inside components. Where a component's
@@ -362,25 +487,18 @@ def link_counts(docs: DataFrame, representatives: DataFrame, labels: DataFrame,
     groups = sized.groupBy("label").agg(F.count("*").alias("k"), F.sum("n").alias("grams")).join(known, "label")
     groups = groups.select("label", "k", blocks.alias("blocks"), (2 * F.col("known") == F.col("k") * (F.col("k") - 1)).alias("whole"))
     dealt = written(labels.join(groups, "label"))
-    open_ = dealt.where(~F.col("whole")).select("class", "label", "blocks", F.pmod(F.xxhash64("class"), F.col("blocks").cast("long")).cast("int").alias("block"))
-    wanted = open_.select(F.col("class").alias("a"), F.col("class").alias("b"))
-    sets = fragments_of(docs, representatives, wanted, levels, n).groupBy("class").agg(F.flatten(F.collect_list("grams")).alias("grams"))
+    open_ = dealt.where(~F.col("whole")).select("class", "label", "blocks", block_of("blocks").alias("block"))
     sent = open_.join(sets, "class").select("class", "label", "block", "grams", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     sent = sent.select("class", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "grams")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         low, high = key[1].as_py(), key[2].as_py()
         block, class_ = table.column("block").to_numpy(), table.column("class").to_numpy()
-        lists = table.column("grams").combine_chunks()
-        size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        near, left, right = similar_rows(table, block == low, block == high, percent)
         found = np.zeros(len(class_), np.int64)
-        if len(left) and len(right):
-            overlap = overlaps(lists.flatten().to_numpy(), np.repeat(np.arange(len(size)), size), left, right)
-            near = (100 * overlap >= percent * (size[left][:, None] + size[right] - overlap)) & (left[:, None] != right)
-            found[left] += near.sum(1)
-            if low != high:
-                found[right] += near.sum(0)
+        found[left] += near.sum(1)
+        if low != high:
+            found[right] += near.sum(0)
         return pa.table([pa.array(class_), pa.array(found)], names=["class", "n_links"])
 
     counted = sent.groupBy("label", "low", "high").applyInArrow(run, "class long, n_links long").groupBy("class").agg(F.sum("n_links").alias("n_links"))
@@ -390,25 +508,35 @@ def link_counts(docs: DataFrame, representatives: DataFrame, labels: DataFrame,
 def _similar(docs: DataFrame, n: int, percent: int, counted: bool) -> DataFrame:
     docs = _plain(docs)
     found = written(survey(docs, n))
-    sets = found.where("gram IS NULL").select("doc_id", "n", "class")
-    representatives = written(sets.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
+    own = found.where("gram IS NULL").select("doc_id", "n", "class")
+    representatives = written(own.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
     levels = docs.sparkSession.sparkContext.broadcast(common_levels(found))
     groups = written(shared_groups(prefix_rows(docs, levels, n, percent)))
-    pairs = written(pivot_pairs(groups, percent))
-    first = written(links(pairs, fragments_of(docs, representatives, pairs, levels, n), percent))
-    # Labels of classes that a link or two lead to: equal labels mean a path of links.
-    one = first.groupBy(F.col("b").alias("class")).agg(F.min("a").alias("label"))
-    two = one.join(one.select(F.col("class").alias("label"), F.col("label").alias("next")), "label", "left")
-    near = two.select("class", F.coalesce("next", "label").alias("label"))
-    rest = written(cross_pairs(groups, near, percent).join(pairs, ["a", "b"], "left_anti"))
-    more = links(rest, fragments_of(docs, representatives, rest, levels, n), percent)
-    edges = written(first.union(more))
+    open_ = groups.withColumns({"label": F.col("class"), "k": F.lit(1).cast("long")})
+    compared = edges = None
+    for step in range(STEPS):
+        pairs = pivot_pairs(open_, step, percent)
+        pairs = written(pairs.join(compared, ["a", "b"], "left_anti") if step else pairs)
+        found = written(links(pairs, fragments_of(docs, representatives, ends_of(pairs), levels, n), percent))
+        compared, edges = (compared.union(pairs), edges.union(found)) if step else (pairs, found)
+        labels = components(edges)
+        open_ = open_groups(groups, labels)
+        rows, left = pairs_left(open_.where(F.col("k") < LARGE))
+        if left <= FEW * rows:
+            break
+    rest = written(cross_pairs(open_.where(F.col("k") < LARGE), percent).join(compared, ["a", "b"], "left_anti"))
+    guests = written(partners(open_, percent))
+    wanted = ends_of(rest).union(guests.select("class")).union(labels.select("class"))
+    fragments = written(fragments_of(docs, representatives, wanted, levels, n))
+    sets = fragments.groupBy("class").agg(F.flatten(F.collect_list("grams")).alias("grams"))
+    more = links(rest, fragments, percent).union(partner_links(guests, labels, sets, representatives, percent))
+    edges = written(edges.union(more).distinct())
     labels = components(edges)
-    degree = link_counts(docs, representatives, labels, edges, levels, n, percent) if counted else labels.select("class", F.lit(None).cast("long").alias("n_links"))
+    degree = link_counts(sets, representatives, labels, edges, percent) if counted else labels.select("class", F.lit(None).cast("long").alias("n_links"))
     smallest = labels.join(representatives, "class").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     linked = labels.join(smallest, "label").join(degree, "class").select("class", "component_id", "n_links")
     classes = representatives.join(linked, "class", "left").select("class", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = sets.select("doc_id", "n", "class").join(classes, "class", "left")
+    out = own.join(classes, "class", "left")
     plain = lambda c: F.when(c != NULL_ID, c)
     return out.select(plain(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), plain(F.coalesce("component_id", "doc_id")).alias("component_id"))
 

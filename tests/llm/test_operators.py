@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import zlib
 
 import numpy as np
@@ -138,6 +139,23 @@ def test_links_are_all_counted(spark):
     assert max(want.values()) > 50 and len(set(want.values())) > 5
 
 
+def test_large_groups_of_near_copies_with_stragglers(spark):
+    """Components above LARGE, documents that link with few of a component's, and others just short of a link."""
+    drawn, texts = random.Random(1), {}
+    for c, size in enumerate((60, 120, 200)):
+        base = [f"c{c}w{i}" for i in range(size)]
+        for _ in range(90):
+            own = list(base)
+            for _ in range(drawn.choice([0, 1, 2, 3, 4, 5, 6, 8])):
+                own[drawn.randrange(size)] = f"x{drawn.randrange(10**9)}"
+            texts[len(texts) * 7 % 271] = " ".join(own[: size - drawn.choice([0, 0, 5, 15])])
+    got = {r["doc_id"]: r for r in jaccard_join.similar_components(documents(spark, table=[(i, t, None, None, 0) for i, t in texts.items()])).collect()}
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == plain_components(texts)
+    sets = {i: frozenset(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for i, t in texts.items()}
+    for i in texts:
+        assert got[i]["n_links"] == sum(100 * len(sets[i] & s) >= 80 * len(sets[i] | s) for s in set(sets.values()) if s != sets[i])
+
+
 # 4
 
 
