@@ -359,18 +359,18 @@ def parse(text: Any, kind: type) -> Any:
     return value
 
 
-def find(df: DataFrame, test: Any = None, projection: Any = None, limit: int = 100) -> DataFrame:
+def find(df: DataFrame, test: Any = None, projection: Any = None, limit: int | None = 100) -> DataFrame:
     test, projection = parse(test, dict), parse(projection, dict)
     out = df.where(matching(df, test)) if test else df
     out = project(out, projection) if projection else out
-    return out.limit(limit)
+    return out if limit is None else out.limit(limit)
 
 
-def aggregate(df: DataFrame, stages: Any, limit: int = 100) -> DataFrame:
+def aggregate(df: DataFrame, stages: Any, limit: int | None = 100) -> DataFrame:
     stages = parse(stages, list)
     if any(not isinstance(s, dict) or len(s) != 1 for s in stages):
         raise Denied("JSON", "a stage is an object with one key")
-    return pipeline(df, stages, limit)
+    return pipeline(df, stages, 2**31 - 1 if limit is None else limit, limit is not None)
 
 
 # Schema

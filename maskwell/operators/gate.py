@@ -135,6 +135,43 @@ def walk(plan) -> Iterator[tuple[str, Any]]:
                 stack += [("plan", p) for p in _sub_plans(node)]
 
 
+TOP = re.compile(r"\A(\s*SELECT\s+(?:DISTINCT\s+)?)TOP\s*(?:\(\s*(\d+)\s*\)|(\d+))\s", re.IGNORECASE)
+
+
+def without_top(query: str) -> str:
+    """SELECT TOP n at the start of a query, which one dialect has, as a LIMIT at its end."""
+    found = TOP.match(query or "")
+    if not found:
+        return query
+    body = query[found.end() :].rstrip().removesuffix(";")
+    return f"{found[1]}{body}\nLIMIT {found[2] or found[3]}"
+
+
+def relations(plan, local: frozenset[str] = frozenset()) -> Iterator[Any]:
+    """The relations of a parsed plan that name no common table expression in scope there.
+
+    An expression of a WITH sees those before it and, if recursive, itself; names inside a subquery end with it.
+    """
+    stack = [("plan", plan, local)]
+    while stack:
+        kind, node, local = stack.pop()
+        name = class_name(node)
+        if kind == "expression":
+            stack += [("expression", c, local) for c in sequence(node.children())]
+            if "Subquery" in name or name in ("Exists", "ListQuery"):
+                stack += [("plan", p, local) for p in _sub_plans(node)]
+            continue
+        if name == "UnresolvedWith":
+            for pair in sequence(node.cteRelations()):
+                own = pair._1().lower()
+                stack.append(("plan", pair._2(), local | {own} if node.allowRecursion() else local))
+                local = local | {own}
+        elif name == "UnresolvedRelation":
+            if ".".join(str(p) for p in sequence(node.multipartIdentifier())).lower() not in local:
+                yield node
+        stack += [("plan", c, local) for c in sequence(node.children())] + [("expression", e, local) for e in sequence(node.expressions())]
+
+
 def parse(spark: SparkSession, query: str):
     """The parsed plan of a read-only query; anything else is Denied before it is analysed or run."""
     if not query or not query.strip():
@@ -155,14 +192,18 @@ def parse(spark: SparkSession, query: str):
 def check(spark: SparkSession, query: str, tables: set[str], blocked_tables: tuple[str, ...] = (), blocked_functions: tuple[str, ...] = ()) -> None:
     """Parse a query and refuse unknown or blocked tables, path relations and dangerous functions.
 
-    `tables` are the known names; names of common table expressions are known within the query.
+    `tables` are the known names; the name of a common table expression is known where it is in scope.
     """
     plan = parse(spark, query)
     denied = {f.lower() for f in blocked_functions} | SPARK_DANGEROUS
     blocked = {t.lower() for t in blocked_tables} | {t for names in SYSTEM_TABLES.values() for t in names}
-    nodes = list(walk(plan))
-    local = {pair._1().lower() for kind, n in nodes if kind == "plan" and class_name(n) == "UnresolvedWith" for pair in sequence(n.cteRelations())}
-    for kind, node in nodes:
+    for node in relations(plan):
+        full = ".".join(str(p) for p in sequence(node.multipartIdentifier())).lower()
+        if full in blocked or full.split(".")[0] in blocked:
+            raise Denied("TABLE", full)
+        if full not in tables:
+            raise Denied("UNKNOWN_TABLE", full)
+    for kind, node in walk(plan):
         name = class_name(node)
         if kind == "plan" and name not in QUERY_ROOTS and (name.endswith("Command") or name.endswith("Statement") or name.startswith(("Insert", "Create", "Drop", "Merge", "Update", "Delete", "Write", "Append", "Overwrite"))):
             raise Denied("WRITE", name)
@@ -171,8 +212,6 @@ def check(spark: SparkSession, query: str, tables: set[str], blocked_tables: tup
             full = ".".join(parts).lower()
             if full in blocked or parts[0].lower() in blocked:
                 raise Denied("TABLE", full)
-            if full not in local and full not in tables:
-                raise Denied("UNKNOWN_TABLE", full)
         elif name == "UnresolvedFunction":
             called = str(sequence(node.nameParts())[-1]).lower()
             if called in denied:

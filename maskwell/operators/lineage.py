@@ -7,6 +7,7 @@ lengths) end a line. What the walk does not know inherits from everything below
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
@@ -20,16 +21,31 @@ Edges = dict[int, frozenset[Source]]
 CLEAN = {
     "Count", "CountIf", "CountMinSketchAgg", "HyperLogLogPlusPlus", "ApproxCountDistinct", "RegrCount", "BoolAnd", "BoolOr",
     "RowNumber", "Rank", "DenseRank", "NTile", "CumeDist", "PercentRank", "Grouping", "GroupingID",
-    "Length", "CharLength", "OctetLength", "BitLength", "Size", "ArraySize", "StringLocate", "StringInstr", "FindInSet", "Levenshtein", "Position",
     "EqualTo", "EqualNullSafe", "LessThan", "LessThanOrEqual", "GreaterThan", "GreaterThanOrEqual", "In", "InSet", "InSubquery", "Exists",
     "IsNull", "IsNotNull", "IsNaN", "Like", "ILike", "RLike", "LikeAll", "LikeAny", "NotLikeAll", "NotLikeAny", "StartsWith", "EndsWith", "Contains", "And", "Or", "Not", "Between", "ArrayContains",
 }
+#: Lengths, clean if what they measure is as long as a stored value; of anything made by a value (space(n), repeat(s, n),
+#: substr(s, 1, n), sequence(1, n)) a length would tell that value.
+LENGTHS = {"Length", "CharLength", "OctetLength", "BitLength", "Size", "ArraySize"}
+AS_LONG = {"AttributeReference", "OuterReference", "Alias", "GetStructField", "Upper", "Lower", "InitCap", "StringTrim", "StringTrimLeft", "StringTrimRight", "StringReverse", "Reverse", "Cast", "Collate"}
+#: Sums of these depend on the order of rows if they are floating point.
+SUMS = {"Sum", "Average", "TrySum", "TryAverage"}
 #: Reversible encodings, which would carry a value past the mask: denied on sensitive arguments.
 DENIED_ENCODERS = {"Base64", "Hex", "Encode", "ToBinary", "AesEncrypt", "TryAesEncrypt", "UrlEncode"}
 PASSING = {"Filter", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Limit", "Distinct", "Deduplicate", "SubqueryAlias", "Repartition", "RepartitionByExpression", "Join", "AsOfJoin", "WithCTE", "UnresolvedHint", "ResolvedHint", "Sample", "LateralJoin", "WithWindowDefinition", "Tail"}
+#: Rows that stand in the query itself.
+INLINE = "?inline"
 LEAVES = {"LogicalRelation", "LocalRelation", "LogicalRDD", "Range", "OneRowRelation", "View", "DataSourceV2Relation", "HiveTableRelation", "EmptyRelation"}
 
 
+def as_long(e) -> bool:
+    """Whether an expression is a stored value, or one of the same length."""
+    name, children = class_name(e), sequence(e.children())
+    if name not in AS_LONG or (name == "Cast" and e.child().dataType().simpleString() not in ("string", "binary")):
+        return False
+    return len(children) < 2 and all(as_long(c) for c in children)
+
+
 class Walk:
     def __init__(self, sensitive: Callable[[Iterable[Source]], bool]):
         self.edges: Edges = {}
@@ -39,6 +55,8 @@ class Walk:
         self.fields: dict[int, dict[str, frozenset[Source]]] = {}
         self.sensitive = sensitive
         self.tables: set[str] = set()
+        #: Where in which text sums and averages of sensitive floating-point numbers stand.
+        self.float_sums: set[tuple[str, int, int]] = set()
 
     # Expressions
 
@@ -59,11 +77,17 @@ class Walk:
         if name == "WindowExpression":
             return self.sources(e.windowFunction())
         if name == "AggregateExpression":
-            return self.sources(e.aggregateFunction())
+            function = e.aggregateFunction()
+            found = self.sources(function)
+            if class_name(function) in SUMS and function.children().apply(0).dataType().simpleString() in ("double", "float") and self.sensitive(found):
+                origin = e.origin()
+                if origin.startIndex().isDefined() and origin.stopIndex().isDefined() and origin.sqlText().isDefined():
+                    self.float_sums.add((origin.sqlText().get(), origin.startIndex().get(), origin.stopIndex().get()))
+            return found
         if name in ("ScalarSubquery", "LateralSubquery", "Exists", "ListQuery"):
             out = self.outputs(e.plan())
             return frozenset().union(*out) if name == "ScalarSubquery" else frozenset()
-        if name in CLEAN:
+        if name in CLEAN or (name in LENGTHS and as_long(sequence(e.children())[0])):
             for child in sequence(e.children()):
                 self.sources(child)  # for denied encoders inside
             return frozenset()
@@ -104,7 +128,7 @@ class Walk:
             return
         if name in LEAVES:
             if name not in ("OneRowRelation", "Range"):
-                self.name_leaf(plan, "?")
+                self.name_leaf(plan, INLINE if name in ("LocalRelation", "EmptyRelation") else "?")
             else:
                 for a in sequence(plan.output()):
                     self.edges[a.exprId().id()] = frozenset()
@@ -189,16 +213,49 @@ class Walk:
 
 def trace(df: DataFrame, sensitive: Callable[[Iterable[Source]], bool] = lambda found: False) -> list[tuple[str, frozenset[Source]]]:
     """(output name, source columns) in order. Encoders of sensitive sources are Denied."""
+    return walked(df, sensitive)[0]
+
+
+def walked(df: DataFrame, sensitive: Callable[[Iterable[Source]], bool]) -> tuple[list[tuple[str, frozenset[Source]]], set[tuple[str, int, int]]]:
+    """trace(), and where sums of sensitive floating-point numbers stand: (text, first, last character)."""
     plan = df._jdf.queryExecution().analyzed()
-    found = Walk(sensitive).outputs(plan)
-    return list(zip([a.name() for a in sequence(plan.output())], found))
+    walk = Walk(sensitive)
+    found = walk.outputs(plan)
+    return list(zip([a.name() for a in sequence(plan.output())], found)), walk.float_sums
+
+
+#: A string, a quoted name or a comment, in which parentheses do not count.
+QUOTED = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/""", re.DOTALL)
+
+
+def exact_sums(query: str, spans: Iterable[tuple[int, int]]) -> str:
+    """The query with the arguments of these sums and averages as decimals of six places, whose sums are exact.
+
+    What is no decimal (NaN, infinities) is left out of them."""
+    inserts: list[tuple[int, str]] = []
+    bare = QUOTED.sub(lambda m: " " * len(m[0]), query)
+    for start, stop in spans:
+        opened = bare.find("(", start)
+        depth, at = 0, opened
+        while 0 <= at <= stop:
+            depth += (bare[at] == "(") - (bare[at] == ")")
+            if not depth:
+                break
+            at += 1
+        if opened < 0 or at > stop:
+            continue
+        first = opened + 1 + len(re.match(r"\s*(?:(?:DISTINCT|ALL)\b)?", bare[opened + 1 :], re.IGNORECASE)[0])
+        inserts += [(first, " TRY_CAST(("), (at, ") AS DECIMAL(38, 6))")]
+    for at, text in sorted(inserts, reverse=True):
+        query = query[:at] + text + query[at:]
+    return query
 
 
 def tables(df: DataFrame) -> set[str]:
-    """Names of all views that a query reads."""
+    """Names of all views that a query reads; `?` stands for any other relation but rows in the query itself."""
     walk = Walk(lambda found: False)
     walk.outputs(df._jdf.queryExecution().analyzed())
-    return walk.tables
+    return walk.tables - {INLINE}
 
 
 def kind_of(source: Source, types: dict[Source, str], below: bool) -> list[str | None]:

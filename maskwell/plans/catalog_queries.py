@@ -312,6 +312,23 @@ add("validate_queries_verdict", verdicts, f"""SELECT query, CASE WHEN query IS N
     WHEN regexp_matches(clean, '\\b({'|'.join(gate.DANGEROUS['postgresql'])})\\s*\\(', 'i') THEN 'FUNCTION'
     WHEN regexp_matches(clean, '\\b({'|'.join(gate.SYSTEM_TABLES['postgresql'])})\\b', 'i') THEN 'TABLE' ELSE 'ALLOWED' END AS verdict
     FROM (SELECT query, {CLEAN.replace('(query,', '(trim(query),')} AS clean FROM ({lines(REQUESTS, 'query')}))""")
+DIALECT_REQUESTS = ["SELECT load_file('/etc/passwd')", "SELECT 1 INTO OUTFILE 'x'", "select sleep(5)", "SELECT sleep FROM t", "SELECT * FROM mysql.user", "SELECT * FROM performance_schema.threads", "EXEC xp_cmdshell 'dir'", "SELECT * FROM OPENROWSET ('x')", "SELECT * FROM sys.sql_logins", "SELECT TOP 5 * FROM t", "SELECT benchmark(1, 2)", "SELECT 'xp_cmdshell'", "DROP TABLE t", "SELECT 1; SELECT 2"]
+
+
+def dialect_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = spark.sql(lines(DIALECT_REQUESTS, "query"))
+    parts = [requests.select(F.lit(d).alias("dialect"), "query", gate.verdict(F.col("query"), d).alias("verdict")) for d in ("mysql", "mssql")]
+    return parts[0].unionAll(parts[1])
+
+
+def dialect_sql(dialect: str, call: str) -> str:
+    tables = "|".join(t.replace(".", "\\.") for t in gate.SYSTEM_TABLES[dialect])
+    return f"""SELECT '{dialect}' AS dialect, query, CASE WHEN len(list_filter(string_split(clean, ';'), lambda p: trim(p) <> '')) > 1 THEN 'MULTI_STATEMENT'
+    WHEN regexp_matches(clean, '\\b({'|'.join(gate.WRITE_WORDS)})\\b', 'i') THEN 'WRITE' WHEN regexp_matches(clean, '\\b({'|'.join(gate.DANGEROUS[dialect])}){call}', 'i') THEN 'FUNCTION'
+    WHEN regexp_matches(clean, '\\b({tables})\\b', 'i') THEN 'TABLE' ELSE 'ALLOWED' END AS verdict FROM (SELECT query, {CLEAN} AS clean FROM ({lines(DIALECT_REQUESTS, 'query')}))"""
+
+
+add("validate_dialects_verdict", dialect_verdicts, dialect_sql("mysql", r"\s*\(") + " UNION ALL " + dialect_sql("mssql", r"\s*\(?"))
 IDENTIFIERS = ["t", "a.b", "a.b.c", "1a", "a b", "_x9", "a.", "", "é", "t;", "a\n"]
 
 
@@ -347,19 +364,21 @@ def registered(spark: SparkSession, sf_dir: str) -> Engine:
     return engine
 
 
-def relational(name: str, sql: str, masks: dict[str, tuple[str, str]], keep: list[str]) -> None:
-    """A query through the engine; the oracle runs it in DuckDB on raw values, then masks the columns named."""
+def relational(name: str, sql: str, masks: dict[str, tuple[str, str]], keep: list[str], duck_sql: str | None = None) -> None:
+    """A query through the engine; the oracle runs it (or `duck_sql`) in DuckDB on raw values, then masks the columns named."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return registered(spark, sf_dir).sql("d", sql, limited=False).df
 
     views = ", ".join(f"{v} AS ({duck(v)})" for v in ("people", "payroll", "products"))
-    inner = sql if not sql.startswith("WITH ") else sql[5:]
-    body = f"WITH {views} SELECT * FROM ({sql})" if inner is sql else f"WITH {'RECURSIVE ' if 'RECURSIVE' in inner else ''}{views}, {inner.removeprefix('RECURSIVE ')}"
+    plain = duck_sql or sql
+    inner = plain if not plain.startswith("WITH ") else plain[5:]
+    body = f"WITH {views} SELECT * FROM ({plain})" if inner is plain else f"WITH {'RECURSIVE ' if 'RECURSIVE' in inner else ''}{views}, {inner.removeprefix('RECURSIVE ')}"
     add(name, run, duck_masks.masked(body, masks, keep))
 
 
 PERSON, EMAIL, SALARY = ("PERSON", "text"), ("EMAIL", "text"), ("SALARY", "double")
+EMAIL_NUMBER = ("EMAIL", "int")
 relational("masked_join_inner", "SELECT p.full_name, s.slip, s.amount FROM people p JOIN payroll s ON p.id = s.employee_id", {"full_name": PERSON, "amount": SALARY}, ["slip"])
 relational("masked_join_left", "SELECT p.id, p.email, s.amount FROM people p LEFT JOIN payroll s ON p.id = s.employee_id", {"email": EMAIL, "amount": SALARY}, ["id"])
 relational("masked_join_right", "SELECT s.slip, p.email FROM people p RIGHT JOIN payroll s ON p.id = s.employee_id AND p.nation < 5", {"email": EMAIL}, ["slip"])
@@ -372,7 +391,9 @@ relational("masked_cross_join", "SELECT p.id, q.id AS qid, p.email FROM people p
 relational("masked_lateral", "SELECT p.id, x.top FROM people p, LATERAL (SELECT max(s.amount) AS top FROM payroll s WHERE s.employee_id = p.id) x", {"top": SALARY}, ["id"])
 relational("masked_asof", "SELECT id, qid, unit_price FROM (SELECT p.id, q.id AS qid, q.unit_price, row_number() OVER (PARTITION BY p.id ORDER BY q.id DESC) AS r FROM people p JOIN products q ON q.id <= p.id AND q.id > p.id - 3) WHERE r = 1", {"unit_price": ("PRICE", "double")}, ["id", "qid"])
 relational("masked_group_count", "SELECT city, count(*) AS n, count(DISTINCT email) AS emails FROM people GROUP BY city", {"city": ("CITY", "text")}, ["n", "emails"])
-relational("masked_group_sum_perturbed", "SELECT nation, round(sum(salary), 2) AS total, round(avg(salary), 2) AS mean, min(salary) AS low, max(full_name) AS top FROM people GROUP BY nation", {"total": SALARY, "mean": SALARY, "low": SALARY, "top": PERSON}, ["nation"])
+relational("masked_group_sum_perturbed", "SELECT nation, round(sum(salary), 2) AS total, round(avg(salary), 2) AS mean, min(salary) AS low, max(full_name) AS top FROM people GROUP BY nation", {"total": SALARY, "mean": SALARY, "low": SALARY, "top": PERSON}, ["nation"],
+           # In whole cents, halves away from zero: sums of doubles would depend on the order of rows.
+           "SELECT nation, CAST(cents AS DOUBLE) / 100 AS total, CAST(sign(cents) * ((2 * abs(cents) + paid) // (2 * paid)) AS DOUBLE) / 100 AS mean, low, top FROM (SELECT nation, CAST(sum(CAST(round(salary * 100) AS BIGINT)) AS HUGEINT) AS cents, count(salary) AS paid, min(salary) AS low, max(full_name) AS top FROM people GROUP BY nation)")
 relational("masked_having", "SELECT nation, count(*) AS n FROM people GROUP BY nation HAVING avg(salary) > 4000", {}, ["nation", "n"])
 relational("masked_count_distinct", "SELECT count(DISTINCT full_name) AS people, count(DISTINCT city) AS cities, count(salary) AS paid FROM people", {}, ["people", "cities", "paid"])
 relational("masked_filter_aggregate", "SELECT nation, count(*) FILTER (WHERE salary > 0) AS n, max(email) FILTER (WHERE id > 10) AS m FROM people GROUP BY nation", {"m": EMAIL}, ["nation", "n"])
@@ -399,6 +420,14 @@ relational("masked_distinct", "SELECT DISTINCT country, nation % 3 AS k FROM peo
 relational("masked_explode_words", "SELECT id, w FROM people LATERAL VIEW explode(split(full_name, '#')) t AS w", {"w": PERSON}, ["id"])
 ORACLES["masked_explode_words"] = duck_masks.masked(f"SELECT id, unnest(string_split(full_name, '#')) AS w FROM ({duck('people')})", {"w": PERSON}, ["id"])
 
+relational("masked_dates", "SELECT slip, year(d) AS y, month(d) AS m, amount FROM (SELECT slip, amount, date_add(DATE '1990-01-01', CAST(slip % 9000 AS INT)) AS d FROM payroll) WHERE d >= DATE '1995-01-01'", {"amount": SALARY}, ["slip", "y", "m"],
+           "SELECT slip, year(d)::INT AS y, month(d)::INT AS m, amount FROM (SELECT slip, amount, DATE '1990-01-01' + CAST(slip % 9000 AS INTEGER) AS d FROM payroll) WHERE d >= DATE '1995-01-01'")
+relational("masked_spread_listagg", "SELECT nation, count(*) AS n, max(salary) - min(salary) AS spread, listagg(DISTINCT segment, ',') WITHIN GROUP (ORDER BY segment) AS segments FROM people GROUP BY nation", {"spread": SALARY}, ["nation", "n", "segments"],
+           "SELECT nation, count(*) AS n, max(salary) - min(salary) AS spread, string_agg(DISTINCT segment, ',' ORDER BY segment) AS segments FROM people GROUP BY nation")
+relational("masked_quoted_names", 'SELECT "id", "email" AS "who" FROM people', {"who": EMAIL}, ["id"])
+relational("masked_top", "SELECT TOP 25 id, full_name FROM people ORDER BY id", {"full_name": PERSON}, ["id"], "SELECT id, full_name FROM people ORDER BY id LIMIT 25")
+relational("masked_position", "SELECT id, instr(email, '@') AS place, length(email) AS n FROM people", {"place": EMAIL_NUMBER}, ["id", "n"])
+
 # Documents
 
 CUSTOMER_DOCS = """SELECT c_custkey AS _id, named_struct('email', lower(replace(c_name, '#', '.')) || '@corp.test', 'city', 'town-' || CAST(c_nationkey AS STRING)) AS contact,
@@ -407,17 +436,17 @@ CUSTOMER_DOCS = """SELECT c_custkey AS _id, named_struct('email', lower(replace(
 
 def collections(spark: SparkSession, sf_dir: str) -> Engine:
     table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
-    engine = Engine(spark, Settings(max_rows=1_000_000), salt=SALT)
+    engine = Engine(spark, Settings(), salt=SALT)
     engine.register("m", "customers", spark.sql(CUSTOMER_DOCS), is_collection=True)
     return engine
 
 
 def found(test: str, projection: str | None = None) -> Query:
-    return lambda spark, sf_dir: collections(spark, sf_dir).find("m", "customers", test, projection, 1_000_000).df
+    return lambda spark, sf_dir: collections(spark, sf_dir).find("m", "customers", test, projection, limited=False).df
 
 
 def staged(stages: str) -> Query:
-    return lambda spark, sf_dir: collections(spark, sf_dir).aggregate("m", "customers", stages, 1_000_000).df
+    return lambda spark, sf_dir: collections(spark, sf_dir).aggregate("m", "customers", stages, limited=False).df
 
 
 DOCS = "(SELECT c_custkey AS _id, lower(replace(c_name, '#', '.')) || '@corp.test' AS email, 'town-' || c_nationkey AS city, c_name AS name, c_nationkey AS nation, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE [c_mktsegment, 'all'] END AS tags, round(c_acctbal, 2) AS balance FROM customer)"
@@ -426,6 +455,8 @@ add("doc_find_or_in_regex", found('{"$or": [{"nation": {"$in": [1, 2]}}, {"conta
 add("doc_find_ne_missing", found('{"tags": {"$ne": "BUILDING"}, "nation": {"$mod": [2, 0]}}', '{"nation": 1}'), f"SELECT _id, nation FROM {DOCS} WHERE NOT coalesce(list_contains(tags, 'BUILDING'), false) AND nation % 2 = 0")
 add("doc_project", staged('[{"$project": {"who": {"$toUpper": "$name"}, "half": {"$divide": ["$balance", 2]}, "big": {"$cond": [{"$gt": ["$balance", 5000]}, "y", "n"]}}}]'), duck_masks.masked(f"SELECT _id, upper(name) AS who, balance / 2 AS half, CASE WHEN balance > 5000 THEN 'y' ELSE 'n' END AS big FROM {DOCS}", {"who": PERSON}, ["_id", "half", "big"]))
 add("doc_group_sum", staged('[{"$match": {"balance": {"$gt": 0}}}, {"$group": {"_id": "$nation", "n": {"$sum": 1}, "total": {"$max": "$balance"}, "top": {"$max": "$contact.email"}, "last": {"$min": "$name"}}}]'), duck_masks.masked(f"SELECT nation AS _id, count(*) AS n, max(balance) AS total, max(email) AS top, min(name) AS last FROM {DOCS} WHERE balance > 0 GROUP BY nation", {"top": EMAIL, "last": PERSON}, ["_id", "n", "total"]))
+add("doc_group_accumulators", staged('[{"$group": {"_id": "$nation", "total": {"$sum": "$_id"}, "mean": {"$avg": "$_id"}, "low": {"$min": "$balance"}, "cities": {"$addToSet": "$contact.city"}}}, {"$project": {"total": 1, "mean": 1, "low": 1, "n": {"$size": "$cities"}}}]'), f"SELECT nation AS _id, sum(_id)::BIGINT AS total, avg(_id) AS mean, min(balance) AS low, count(DISTINCT city) AS n FROM {DOCS} GROUP BY nation")
+add("doc_find_type_nor", found('{"$nor": [{"nation": {"$lt": 4}}, {"balance": {"$lt": 0}}], "tags": {"$size": 2, "$all": ["all"]}, "name": {"$type": "string"}}', '{"nation": 1, "name": 1}'), duck_masks.masked(f"SELECT _id, nation, name FROM {DOCS} WHERE NOT (nation < 4) AND NOT (balance < 0) AND len(tags) = 2 AND list_contains(tags, 'all')", {"name": PERSON}, ["_id", "nation"]))
 add("doc_unwind", staged('[{"$unwind": {"path": "$tags", "preserveNullAndEmptyArrays": true, "includeArrayIndex": "at"}}, {"$project": {"tags": 1, "at": 1}}]'), f"SELECT _id, t.tag AS tags, t.at AS at FROM {DOCS} d LEFT JOIN LATERAL (SELECT unnest(d.tags) AS tag, generate_subscripts(d.tags, 1) - 1 AS at) t ON true")
 add("doc_sort_skip_limit", staged('[{"$sort": {"balance": -1, "_id": 1}}, {"$skip": 5}, {"$limit": 20}, {"$project": {"name": 1}}]'), duck_masks.masked(f"SELECT _id, name FROM {DOCS} ORDER BY balance DESC, _id LIMIT 20 OFFSET 5", {"name": PERSON}, ["_id"]))
 add("doc_count", staged('[{"$match": {"nation": 3}}, {"$count": "n"}]'), f"SELECT count(*) AS n FROM {DOCS} WHERE nation = 3")
@@ -435,7 +466,7 @@ add("doc_add_unset_replace", staged('[{"$addFields": {"twice": {"$multiply": ["$
 
 
 def nested_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = collections(spark, sf_dir).find("m", "customers", "{}", None, 1_000_000).df
+    df = collections(spark, sf_dir).find("m", "customers", "{}", limited=False).df
     return df.select("_id", F.col("contact.email").alias("email"), F.col("contact.city").alias("city"), "name", "nation")
 
 

@@ -54,6 +54,8 @@ LEAKY = [
     "SELECT x.v FROM people p, LATERAL (SELECT p.email AS v) x",
     "SELECT substr(email, 1, 8) AS v FROM people",
     "SELECT reverse(email) AS v FROM people",
+    'SELECT "email" FROM people',
+    "SELECT TOP 5 email FROM people",
 ]
 
 
@@ -65,6 +67,88 @@ def test_no_raw_value_leaves(engine, query):
     assert result.pii_columns_anonymized
 
 
+TELLING = [
+    "instr('abcdefghijklmnopqrstuvwxyz.@', substr(email, 1, 1))", "instr(email, 'z')", "locate(substr(email, 2, 1), 'pqr')", "position('q' IN email)", "levenshtein(email, 'zq1@corp.test')",
+    "find_in_set(substr(email, 1, 1), 'x,y,z')", "length(space(CAST(salary AS INT)))", "length(repeat('a', ascii(email)))", "size(sequence(1, CAST(salary AS INT)))", "char_length(lpad('', CAST(salary AS INT)))",
+    "length(substr(full_name, 1, ascii(email)))", "octet_length(repeat('a', CAST(salary AS INT)))", "size(split(email, 'q'))", "array_position(array('a', 'z'), substr(email, 1, 1))", "ascii(email)", "length(CAST(salary AS STRING))",
+]
+
+
+@pytest.mark.parametrize("expression", TELLING)
+def test_numbers_made_of_values_are_masked(engine, expression):
+    out = engine.sql("d", f"SELECT id, {expression} AS v FROM people ORDER BY id")
+    assert out.pii_columns_anonymized == ["v"]
+    raw = engine.catalog.table("d", "people").df.selectExpr("id", f"CAST({expression} AS STRING) AS v").orderBy("id").collect()
+    assert sum(str(a["v"]) == str(b["v"]) for a, b in zip(out.df.collect(), raw)) <= 4  # zero stays zero; noise may round away
+
+
+def test_names_of_other_databases_are_unknown(spark):
+    engine = Engine(spark, SETTINGS, salt="salt")
+    secret = spark.createDataFrame([(1, "ann@x.org", 5000.0)], "id long, email string, salary double")
+    engine.register("hr", "people", secret)
+    engine.register("hr", "docs", secret, is_collection=True)
+    engine.register("shop", "goods", spark.range(3))
+    engine.sql("hr", "SELECT salary FROM people").df.collect()
+    secret.createOrReplaceTempView("people")  # someone else's view of the session
+    for query in (
+        "SELECT p.salary s FROM people p, (WITH people AS (SELECT 1 a) SELECT a FROM people) t",
+        "SELECT p.email FROM collection_hr_docs p, (WITH collection_hr_docs AS (SELECT 1 a) SELECT a FROM collection_hr_docs) t",
+        "WITH a AS (SELECT * FROM people), people AS (SELECT 1 x) SELECT * FROM a",
+        "WITH people AS (SELECT * FROM people) SELECT * FROM people",
+        "SELECT (WITH people AS (SELECT 1 a) SELECT max(a) FROM people), (SELECT max(salary) FROM people)",
+        "SELECT id FROM goods WHERE EXISTS (SELECT 1 FROM people WHERE salary > 1)",
+        "SELECT * FROM goods, LATERAL (SELECT salary FROM people) x",
+        "SELECT * FROM collection_hr_docs",
+    ):
+        with pytest.raises(Denied) as error:
+            engine.sql("shop", query)
+        assert error.value.code == "UNKNOWN_TABLE", query
+    spark.catalog.dropTempView("people")
+    fine = "WITH a AS (SELECT id FROM goods), b AS (SELECT id FROM a) SELECT count(*) AS n FROM b, (WITH a AS (SELECT 1 x) SELECT * FROM a) c"
+    assert engine.sql("shop", fine).df.first()["n"] == 3
+    assert not spark.catalog.tableExists("goods")
+
+
+def test_sums_do_not_depend_on_order(spark):
+    rows = [(i % 5, float(i) + 0.1 * (i % 7) + 0.005) for i in range(600)]
+    totals = set()
+    for turn in range(4):
+        engine = Engine(spark, SETTINGS, salt="salt")
+        engine.register("d", "pay", spark.createDataFrame(sorted(rows, key=lambda r: hash((r, turn))), "k long, salary double").repartition(turn + 1))
+        out = engine.sql("d", "SELECT k, round(avg(salary), 2) AS m, sum(DISTINCT salary) FILTER (WHERE k < 9) AS s, max(sum(salary)) OVER () AS w FROM pay GROUP BY k HAVING sum(salary) > 0 ORDER BY k")
+        assert [f.dataType.simpleString() for f in out.df.schema] == ["bigint", "double", "double", "double"]
+        totals.add(repr(out.df.collect()))
+    assert len(totals) == 1
+
+
+def test_quoted_names_top_and_time_to_live(spark, engine):
+    assert engine.sql("d", 'SELECT "id" AS i FROM people').df.first()["i"] in range(40)
+    assert engine.sql("d", "SELECT TOP (7) id FROM people ORDER BY id DESC;").df.count() == 7
+    session = Engine(spark, from_tree({"storage": {"mode": "session", "ttl_minutes": 5}}))
+    now = [0.0]
+    session.clock, session.last = (lambda: now[0]), 0.0
+    first = session.salt()
+    now[0] = 299.0
+    assert session.salt() == first
+    now[0] = 700.0
+    assert session.salt() != first
+
+
+def test_databases_of_the_settings(spark):
+    settings = from_tree({"databases": {"shop": {"type": "postgresql", "database": "s", "tables": {"public.people": ["id"], "old.people": None}}, "gone": {"type": "mysql", "database": "g", "tables": ["t"]}}})
+
+    def read(spark, config, table):
+        if config["type"] == "mysql":
+            raise ConnectionError("no route to 10.0.0.12")
+        return spark.createDataFrame([(2, "b@x.org"), (1, "a@x.org")], "id long, email string")
+
+    engine = Engine(spark, settings)
+    assert engine.connect(read) == ["shop"] and engine.list_tables("shop") == ["old_people", "people"]
+    assert engine.unreachable == {"gone": "no route to [VALUE]"}
+    assert engine.describe("shop", "people").where("primary_key").first()["name"] == "id"
+    assert '"id":1' in engine.fixtures("shop", "people", 1)["content"].replace(" ", "")
+
+
 def test_clean_columns_stay(engine):
     rows = engine.sql("d", "SELECT count(email) AS n, count(DISTINCT full_name) AS m, max(length(email)) AS l FROM people").df.collect()
     assert [tuple(r) for r in rows] == [(40, 40, 14)]
