@@ -27,7 +27,8 @@ def _quoted(literal: str) -> str:
 
 
 def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """One row per conversation: conv_id, formatted, and its blocks (role, loss, bodies).
+    """One row per conversation: conv_id, formatted, its blocks (role, loss, bodies), and the loss mask: spans (start and
+    chars, in characters from 0) of `formatted` that are learned.
 
     `turns` has conv_id, turn, role and text; other columns are ignored. A conversation's rows are collected as
     structs and sorted by turn (null first), then role and text, so ties have one order. Adjacent turns of one
@@ -52,7 +53,30 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
     )
     grouped = grouped.select("conv_id", blocks.alias("blocks"))
     text = F.transform("blocks", lambda b: F.concat(F.lit(START), escape(b["role"], ROLE_ESCAPES), F.lit("\n"), F.array_join(b["bodies"], SEP), F.lit(END)))
-    return grouped.select("conv_id", F.array_join(text, "").alias("formatted"), "blocks")
+    return grouped.select("conv_id", F.array_join(text, "").alias("formatted"), "blocks", loss_spans(F.col("blocks")).alias("loss_spans"))
+
+
+def loss_spans(blocks: Column) -> Column:
+    """Where the learned bodies stand in the text of these blocks: each body is one span."""
+    size = lambda c: F.char_length(c).cast("long")
+    step = lambda at, spans: F.struct(at.alias("at"), spans.alias("spans"))
+
+    def through_body(learned: Column, sofar: Column, body: Column) -> Column:
+        own = F.array(F.struct(sofar["at"].alias("start"), size(body).alias("chars")))
+        return step(sofar["at"] + size(body) + len(SEP), F.when(learned, F.concat(sofar["spans"], own)).otherwise(sofar["spans"]))
+
+    def through_block(sofar: Column, block: Column) -> Column:
+        first = sofar["at"] + len(START) + size(escape(block["role"], ROLE_ESCAPES)) + 1
+        done = F.aggregate(block["bodies"], step(first, sofar["spans"]), lambda a, b: through_body(block["loss"], a, b))
+        return step(done["at"] - len(SEP) + len(END), done["spans"])
+
+    none = F.array().cast("array<struct<start:bigint,chars:bigint>>")
+    return F.aggregate(blocks, step(F.lit(0).cast("long"), none), through_block)["spans"]
+
+
+def under_mask(formatted: Column, spans: Column) -> Column:
+    """The learned text: what stands in a formatted text under its mask, unescaped, in order."""
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["chars"].cast("int")))), "")
 
 
 def read_back(formatted: Column) -> Column:
@@ -68,10 +92,9 @@ def read_back(formatted: Column) -> Column:
 
 
 def chat_digests(turns: DataFrame) -> DataFrame:
-    """What the formatted text says when read back, and the text under its loss mask."""
+    """What the formatted text says when read back, and what stands in it under its loss mask."""
     out = format_conversations(turns).withColumn("turns", read_back(F.col("formatted")))
-    learned = F.flatten(F.transform(F.filter("blocks", lambda b: b["loss"]), lambda b: F.transform(b["bodies"], lambda t: unescape(t))))
-    out = out.withColumn("learned", F.array_join(learned, ""))
+    out = out.withColumn("learned", under_mask(F.col("formatted"), F.col("loss_spans")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id",

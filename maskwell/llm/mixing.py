@@ -168,9 +168,7 @@ def mix(docs: DataFrame, **rules) -> DataFrame:
     equal = Window.partitionBy("__own_id", "__own_hash").orderBy("__own_source")
     own = docs.withColumns({"__own_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__own_hash": F.xxhash64(F.col("text").cast("string")), "__own_source": F.col("source").cast("string")})
     own = own.withColumn("__own_nth", F.row_number().over(equal))
-    # Not an equality of columns, so that the join keeps the window's partitioning.
-    same = F.col("__own_nth") - F.col("__nth") == 0
-    joined = own.join(plan, (F.col("__own_id") == F.col("__id")) & (F.col("__own_hash") == F.col("__hash")) & same)
+    joined = own.join(plan, (F.col("__own_id") == F.col("__id")) & (F.col("__own_hash") == F.col("__hash")) & (F.col("__own_nth") == F.col("__nth")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,20 +24,39 @@ END_ID = 2
 #: Words whose ids one worker remembers.
 KNOWN_WORDS = 1_500_000
 
+# The rules of a tokenizer file under which lower-cased runs of letters are pre-tokens of their own.
+LOWERED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 
+def splits_at_space(tokenizer) -> bool:
+    """Whether texts with all kinds of white space have the ids of their words in a row."""
+    words = ["One", "two's", "3.4", "é,", "(x)", "日本", "don't", "-", "Ab1"]
+    text = "".join(w + s for w, s in zip(words, [" ", "\n", "\t", "  ", "\r\n", " \n ", "\x0b", "\x0c", ""]))
+    encode = lambda s: tokenizer.encode(s, add_special_tokens=False).ids
+    return encode(text) == [i for w in words for i in encode(w)]
+
+
 class WordIds:
     """Token ids of white-space separated words, remembered between batches of a worker.
 
     The tokenizer's pre-tokenizer never joins characters across white space, so a text's ids are those of its
-    words in a row. Plain Latin words go to the BPE model without the normaliser, which would only lower them.
+    words in a row. Plain Latin words go to the BPE model without the normaliser, which would only lower them, if
+    the file's rules are those expected; a file whose tokens may cross white space is refused.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        #: Whether the model may get plain words without the normaliser: only if the file's rules are those expected.
+        self.plain = {k: rules.get(k) for k in LOWERED} == LOWERED
+        if not self.plain and not splits_at_space(self.tokenizer):
+            raise ValueError(f"{path}: its tokens may cross white space, so that texts cannot be encoded word by word")
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in shown]
         self.byte_chars = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
@@ -51,7 +71,7 @@ class WordIds:
         whole, tails = [], {}
         tokenize, chars = self.tokenizer.model.tokenize, self.byte_chars
         for i, raw in enumerate(words):
-            found = PLAIN.fullmatch(word := raw.decode("utf-8", "replace"))
+            found = PLAIN.fullmatch(raw.decode("utf-8", "replace")) if self.plain else None
             if not found:
                 whole.append(i)
                 out.append(None)

@@ -182,6 +182,29 @@ def test_depleted_documents_go(spark):
     assert kept == {0, 200, *range(100, 110)}
 
 
+def test_quality_by_line_frequency(spark):
+    """The verdict of the frequency branch, against a plain version, on rows that the base rules let through."""
+    nav, foot = "Home about contact terms privacy imprint", "all rights reserved by the owner"
+    table = [(i, f"{nav}\n  {foot.upper()} \n" + "\n".join(f"own{i}x{k} word{k}" for k in range(i % 12)), "en", "h", 0) for i in range(60)]
+    table += [(100 + i, f"{nav} unique{i} and some more words to be kept here now", "en", "h", 0) for i in range(30)] + [(200, f"{nav}\n{foot}", "en", "g", 0), (201, table[7][1], "en", "h", 0), (202, None, None, "h", 0)]
+    out = {r["doc_id"]: r for r in quality.quality(documents(spark, extra=True, table=table), max_docs=5, max_share=0.1).collect()}
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").lower()
+    host, holders = collections.defaultdict(set), collections.defaultdict(dict)
+    for i, text, _, source, _ in table:
+        host[source].add(text or "")
+        for line in (text or "").split("\n"):
+            if words(line):
+                holders[source, key(line)].setdefault(text, []).append(i)
+    frequent = {k: min(min(v) for v in own.values()) for k, own in holders.items() if len(own) > 5 and len(own) > 0.1 * len(host[k[0]])}
+    assert len(frequent) == 2
+    for i, text, _, source, _ in table:
+        gone = sum(len(words(x)) for x in (text or "").split("\n") if words(x) and frequent.get((source, key(x)), i) != i)
+        n, r = len(words(text)), out[i]
+        assert r["removed_words"] == gone
+        assert r["kept"] == (not r["base_failed"] and not (gone and n - gone < 10 and n - gone < 0.2 * n))
+    assert any(not r["kept"] and not r["base_failed"] for r in out.values()) and sum(r["kept"] for r in out.values()) > 30
+
+
 def test_frequent_lines_are_taken_out_of_kept_documents(spark):
     nav = "Home about contact terms privacy"
     own = {i: " ".join(f"u{i}v{k}" for k in range(30)) for i in range(20)}
@@ -300,9 +323,38 @@ def test_chat_round_trip(spark):
     assert "<b>" not in out.where("conv_id = 1").first()["formatted"] and len(out.where("conv_id = 1").first()["blocks"]) == 2
 
 
+def test_loss_spans_point_into_the_output(spark):
+    turns = [(c, i, ["user", "assistant", "assistant", "ro\nle<"][(c * 7 + i * i) % 4], f"t{c}.{i} <|im_sep|> & [x] 😀é\n" * (i % 3)) for c in range(6) for i in range(9)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    for r in chat.format_conversations(df).collect():
+        parts = [r["formatted"][s["start"] : s["start"] + s["chars"]] for s in r["loss_spans"]]
+        for mark, escaped in reversed(chat.ESCAPES):
+            parts = [p.replace(escaped, mark) for p in parts]
+        assert parts == [t for c, _, role, t in turns if c == r["conv_id"] and role == "assistant"]
+    digests = {r["conv_id"]: r for r in chat.chat_digests(df).collect()}
+    for c in range(6):
+        want = "".join(t for k, _, role, t in turns if k == c and role == "assistant")
+        assert (digests[c]["loss_chars"], digests[c]["loss_sha256"]) == (len(want), hashlib.sha256(want.encode()).hexdigest())
+
+
 # 9
 
 
+def test_shortcut_only_for_the_known_rules(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    coder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert packing.WordIds(public_tokenizers.path("word_bpe_49k.json")).plain
+    coder.normalizer = None
+    coder.save(str(tmp_path / "cased.json"))
+    cased = packing.WordIds(str(tmp_path / "cased.json"))
+    assert not cased.plain and cased.encode([b"House"]) == [coder.encode("House", add_special_tokens=False).ids] != cased.encode([b"house"])
+    coder.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    coder.save(str(tmp_path / "spaced.json"))
+    with pytest.raises(ValueError, match="white space"):
+        packing.WordIds(str(tmp_path / "spaced.json"))
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
