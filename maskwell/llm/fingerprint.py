@@ -24,17 +24,19 @@ LANES, DIGESTS = 126, 8
 LANE_BITS, DIGEST_BITS = 16, 32
 #: Characters after which phrases are summed in one more block, so that no field of 21 bits overflows.
 BLOCK_CHARS = 1 << 20
-PHRASE_END = r"(?<=[acegikmoqsuwy02468.,;:!?]|[^\x00-\x7F])[\x20\x09\x0B-\x0D]+"
+PHRASE_END = r"(?<=[acegikmoqsuwyACEGIKMOQSUWY02468.,;:!?#$%&*<>|)\]]|[^\x00-\x7F])[\x20\x09\x0B-\x0D]+"
 
 
 def units(versions: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """A row per phrase: keys, block, the paragraph's digest lanes (on its first phrase) and the phrase's hashes."""
+    """A row per phrase: keys, block, the paragraph's digest lanes (on its first phrase) and the phrase's hashes.
+
+    A lane's number is hashed before the unit, as a seed: two units that agree in one lane still differ in the others."""
     n_blocks = F.floor(F.col("_chars") / BLOCK_CHARS) + 1
     rows = versions.select(*keys, F.char_length(text).alias("_chars"), F.posexplode(F.split(text, "\n")).alias("_p", "_paragraph"))
-    digests = [F.xxhash64("_paragraph", F.lit(i)).alias(f"_d{i}") for i in range(DIGESTS // 2)]
+    digests = [F.xxhash64(F.lit(i), "_paragraph").alias(f"_d{i}") for i in range(DIGESTS // 2)]
     rows = rows.select(*keys, "_chars", "_p", *digests, F.posexplode(F.split("_paragraph", PHRASE_END)).alias("_q", "_phrase"))
     block = F.pmod(F.col("_p") * 31 + F.col("_q"), n_blocks.cast("int"))
-    return rows.select(*keys, block.alias("_block"), (F.col("_q") == 0).alias("_first"), *(f"_d{i}" for i in range(DIGESTS // 2)), F.xxhash64("_phrase").alias("_h0"), F.xxhash64("_phrase", F.lit(1)).alias("_h1"))
+    return rows.select(*keys, block.alias("_block"), (F.col("_q") == 0).alias("_first"), *(f"_d{i}" for i in range(DIGESTS // 2)), F.xxhash64(F.lit(0), "_phrase").alias("_h0"), F.xxhash64(F.lit(1), "_phrase").alias("_h1"))
 
 
 def summed(versions: DataFrame, keys: list[str], text: str) -> DataFrame:

@@ -72,6 +72,22 @@ def test_edits_and_fingerprints(spark):
     assert out[60]["near_edited"] > 0.6 > out[60]["near_next"]
 
 
+def test_likeness_of_capitals_and_symbols(spark):
+    drawn = random.Random(3)
+    word = lambda: "".join(drawn.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    kinds = [lambda: word(), lambda: word().upper(), lambda: word() + drawn.choice(["$$$", "&&&", "%%%", "***"]), lambda: str(drawn.randrange(10**6)), lambda: "é" + word() + "ü"]
+    table = [(i, " ".join(kinds[i % 5]() for _ in range(300)), None, None, 0) for i in range(20)]
+    for r in fingerprint.edit_report(documents(spark, table=table)).collect():
+        assert r["near_edited"] > 0.5 > r["near_next"], r["doc_id"]
+
+
+def test_digest_lanes_are_independent(spark):
+    """Hashes of one text under several lanes share no half, as they would if lanes were made from one 64-bit hash."""
+    made = fingerprint.fingerprints(documents(spark, table=[(1, "one paragraph", None, None, 0)])).first()["fp"]["digests"]
+    seeds = spark.range(1).select(*(F.xxhash64(F.lit(i), F.lit("one paragraph")).alias(f"h{i}") for i in range(4))).first()
+    assert made == [h for s in seeds for h in (s & 0xFFFFFFFF, (s >> 32) & 0xFFFFFFFF)]
+
+
 def test_fingerprints_add_up(spark):
     texts = {1: "alpha beta\ngamma delta one", 2: "gamma delta one\nalpha beta", 3: "alpha beta", 4: "gamma delta one"}
     df = fingerprint.fingerprints(documents(spark, table=[(i, t, None, None, 0) for i, t in texts.items()]))
