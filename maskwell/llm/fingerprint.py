@@ -90,6 +90,18 @@ def _signed(fp: Column) -> Column:
     return F.transform(fp["lanes"], lambda v: 2 * (F.pmod(v - half + size // 2, F.lit(size)) - size // 2) - fp["n"] % 2)
 
 
+def packed(fp: Column) -> Column:
+    """A fingerprint in the fewest bytes that Spark's rows allow, for shuffles and tables: 16-bit lanes, 32-bit digests."""
+    fit = lambda values, bits, kind: F.transform(values, lambda v: (v - F.lit(1 << (bits - 1))).cast(kind))
+    return F.struct(fp["n"].alias("n"), fit(fp["digests"], DIGEST_BITS, "int").alias("digests"), fit(fp["lanes"], LANE_BITS, "smallint").alias("lanes"))
+
+
+def unpacked(fp: Column) -> Column:
+    """The fingerprint that packed() was given."""
+    back = lambda values, bits: F.transform(values, lambda v: v.cast("long") + F.lit(1 << (bits - 1)))
+    return F.struct(fp["n"].alias("n"), back(fp["digests"], DIGEST_BITS).alias("digests"), back(fp["lanes"], LANE_BITS).alias("lanes"))
+
+
 def signed(fp: Column) -> Column:
     """A fingerprint's centred lanes and their squared length, for likeness()."""
     lanes = _signed(fp)
@@ -148,17 +160,18 @@ def edit_report(docs: DataFrame, tail: int = 4) -> DataFrame:
     last = F.floor(F.col("n_chars") / tail).cast("int")
     heads = base.join(links.select(F.col("next_id").alias("doc_id"), F.col("next_hash").alias("text_hash"), F.col("doc_id").alias("to_id"), F.col("text_hash").alias("to_hash"), last.alias("last")), key)
     heads = heads.select(F.col("to_id").alias("doc_id"), F.col("to_hash").alias("text_hash"), F.left("text", F.col("last")).alias("head"))
-    both = base.join(links.select(*key, "n_chars"), key).join(heads, key).dropDuplicates(key)
+    both = base.join(links.select(*key, "n_chars", "next_id", "next_hash"), key).join(heads, key).dropDuplicates(key)
     edited = F.concat(F.left("text", F.col("n_chars").cast("int") - last), F.col("head"))
-    versions = both.select(*key, "n_chars", "text", edited.alias("edited"))
-    versions = versions.select(*key, "n_chars", F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("version", "body"))
-    own = [*key, "n_chars", "edited_sha256"]
+    # The successor's key goes with the row to the last join, so that fingerprints are dealt out once only.
+    row = [*key, "n_chars", "next_id", "next_hash"]
+    versions = both.select(*row, "text", edited.alias("edited"))
+    versions = versions.select(*row, F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("version", "body"))
+    own = [*row, "edited_sha256"]
     pairs = summed(versions, [*own, "version"], "body").groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("version", "fp"))).alias("v"))
-    narrow = "struct<n:bigint,digests:array<bigint>,lanes:array<int>>"
-    pairs = written(pairs.select(*own, F.get("v", F.lit(0))["fp"].cast(narrow).alias("fp"), F.get("v", F.lit(1))["fp"].cast(narrow).alias("edited_fp")))
-    mine = pairs.join(links.select(*key, "next_id", "next_hash"), key)
+    pairs = written(pairs.select(*own, packed(F.get("v", F.lit(0))["fp"]).alias("fp"), packed(F.get("v", F.lit(1))["fp"]).alias("edited_fp")))
     theirs = pairs.select(F.col("doc_id").alias("next_id"), F.col("text_hash").alias("next_hash"), F.col("fp").alias("next_fp"))
-    out = mine.join(theirs, ["next_id", "next_hash"])
+    out = pairs.join(theirs, ["next_id", "next_hash"])
+    out = out.withColumns({c: unpacked(F.col(c)) for c in ("fp", "edited_fp", "next_fp")})
     out = out.select("*", signed(F.col("fp")).alias("a"), signed(F.col("edited_fp")).alias("b"), signed(F.col("next_fp")).alias("c"))
     return out.select(
         F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"),
