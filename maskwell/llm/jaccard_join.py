@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, chunks, durable, words_of, written
+from .common import NULL_ID, chunks, durable, frugal, words_of, written
 
 #: Slots of the sketch of common n-grams (a byte each, broadcast), and of the smallest and largest filter of documents to
 #: compare (a bit each; 32 slots a document as long as that is below the largest).
@@ -107,7 +107,7 @@ def survey(docs: DataFrame, n: int) -> DataFrame:
         if held:
             yield counted()
 
-    return docs.mapInArrow(run, FOUND)
+    return docs.mapInArrow(frugal(run), FOUND)
 
 
 def slot_table(rows: DataFrame, slot: str, value: str, slots: int, bits: bool) -> np.ndarray:
@@ -159,7 +159,7 @@ def prefix_rows(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
             own = owner[chosen]
             yield pa.RecordBatch.from_arrays([pa.array(grams[order][chosen]), pa.array(classes[own]), pa.array(sizes[own]), pa.array(position[chosen])], names=["gram", "class", "n", "position"])
 
-    return docs.select("text").mapInArrow(run, "gram long, class long, n long, position long")
+    return docs.select("text").mapInArrow(frugal(run), "gram long, class long, n long, position long")
 
 
 def _changes(rows: dict[str, np.ndarray], key: list[str]) -> np.ndarray:
@@ -328,7 +328,7 @@ def cross_pairs(groups: DataFrame, percent: int) -> DataFrame:
             if found:
                 yield _pairs(found)
 
-    pairs = sent.repartition(n, *key).sortWithinPartitions(*key, "label", "class").mapInArrow(run, PAIR)
+    pairs = sent.repartition(n, *key).sortWithinPartitions(*key, "label", "class").mapInArrow(frugal(run), PAIR)
     return likely(pairs, percent)
 
 
@@ -382,7 +382,7 @@ def fragments_of(docs: DataFrame, representatives: DataFrame, wanted: DataFrame,
             yield pa.RecordBatch.from_arrays([pa.array(classes[own]), pa.array(sizes[own]), pa.array((key[starts] % FRAGMENTS).astype(np.int32)), lists], names=["class", "n", "fragment", "grams"])
 
     rows = docs.select("text", slot.alias("slot"))
-    return rows.mapInArrow(run, "class long, n long, fragment int, grams array<long>").dropDuplicates(["class", "fragment"])
+    return rows.mapInArrow(frugal(run), "class long, n long, fragment int, grams array<long>").dropDuplicates(["class", "fragment"])
 
 
 def links(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, chunks, durable
+from .common import NULL_ID, chunks, durable, frugal
 
 LINE = "high long, low long, doc_id long, text_hash long, position int, n_lines int"
 DROPPED = "doc_id long, text_hash long, position int, n_lines int"
@@ -50,7 +50,7 @@ def hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
                         counts.append(len(lines))
             yield pa.RecordBatch.from_arrays([pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(positions, pa.int32()), pa.array(counts, pa.int32())], names=["high", "low", "doc_id", "text_hash", "position", "n_lines"])
 
-    return _document(docs).mapInArrow(run, LINE)
+    return _document(docs).mapInArrow(frugal(run), LINE)
 
 
 def _numbers(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -114,7 +114,7 @@ def dropped_lines(docs: DataFrame, min_docs: int, min_chars: int, keep_first: bo
 
     totals: dict[tuple[int, int], int] = {}
     begins: dict[tuple[int, int], int] = {}
-    for high, low, doc_id, documents in ordered.select("high", "low", "doc_id").mapInArrow(ends, "high long, low long, doc_id long, documents long").collect():
+    for high, low, doc_id, documents in ordered.select("high", "low", "doc_id").mapInArrow(frugal(ends), "high long, low long, doc_id long, documents long").collect():
         totals[high, low] = totals.get((high, low), 0) + documents
         begins[high, low] = min(begins.get((high, low), doc_id), doc_id)
 
@@ -137,7 +137,7 @@ def dropped_lines(docs: DataFrame, min_docs: int, min_chars: int, keep_first: bo
             columns = {k: v[drop] for k, v in rows.items()}
             yield pa.RecordBatch.from_arrays([pa.array(columns[c]) for c in ("doc_id", "text_hash", "position", "n_lines")], names=["doc_id", "text_hash", "position", "n_lines"])
 
-    return ordered.mapInArrow(run, DROPPED)
+    return ordered.mapInArrow(frugal(run), DROPPED)
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
@@ -161,7 +161,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
                 bitmaps.append(zlib.compress(np.packbits(keep).tobytes(), 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bitmaps, pa.binary())], names=["doc_id", "text_hash", "n_lines", "keep"])
 
-    bitmaps = per_document.mapInArrow(run, "doc_id long, text_hash long, n_lines int, keep binary")
+    bitmaps = per_document.mapInArrow(frugal(run), "doc_id long, text_hash long, n_lines int, keep binary")
     return bitmaps.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
 
@@ -190,7 +190,7 @@ def kept_digests(docs: DataFrame, **rules) -> DataFrame:
             kept = [kept_lines(t, k) for t, k in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k[1] for k in kept], pa.int64()), pa.array([k[2] for k in kept], pa.int64()), pa.array([hashlib.sha256(k[0]).hexdigest() for k in kept], pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return with_bitmaps(_document(docs).drop("text_hash"), keep_bitmaps(docs, **rules)).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return with_bitmaps(_document(docs).drop("text_hash"), keep_bitmaps(docs, **rules)).mapInArrow(frugal(run), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def without_repeated_lines(docs: DataFrame, **rules) -> DataFrame:
@@ -208,5 +208,5 @@ def without_repeated_lines(docs: DataFrame, **rules) -> DataFrame:
             columns = [pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay, pa.bool_()))
 
-    out = with_bitmaps(docs, keep_bitmaps(docs, **rules)).mapInArrow(run, types)
+    out = with_bitmaps(docs, keep_bitmaps(docs, **rules)).mapInArrow(frugal(run), types)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in names else out

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, WORD, chunks, durable
+from .common import NULL_ID, WORD, chunks, durable, frugal
 
 #: Words in a block.
 BLOCK = 64
@@ -181,5 +181,5 @@ def mix(docs: DataFrame, **rules) -> DataFrame:
             taken = batch.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else taken.column(c) for c in names], names=names)
 
-    out = joined.select(*names, "__passes", "__spans").mapInArrow(run, docs.schema)
+    out = joined.select(*names, "__passes", "__spans").mapInArrow(frugal(run), docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in names else out

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, durable, words_of
+from .common import chunks, durable, frugal, words_of
 
 #: Pieces that are packed together: bounds one group's work and makes groups independent of each other.
 GROUP_PIECES = 1024
@@ -161,7 +161,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int) -> DataFrame:
                     at += n
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), PIECE)
 
 
 def difference(lengths: list[int], k: int) -> np.ndarray:
