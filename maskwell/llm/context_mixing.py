@@ -1,22 +1,23 @@
-"""Language-model scores from logistic mixing of hashed-context bit predictors.
+"""Language-model scores from online logistic mixing of hashed-context bit predictors over running text.
 
-A token is spelled byte by byte, closed by a zero byte, each byte as eight binary choices. For every choice several
-predictors, one per order, look up how often either bit followed the last bytes (and the bits of this byte so far) in
-the training vocabulary: hashed tables of fixed size. Their stretched probabilities are combined by weights that a gate,
-the bit's place and how much the longest context has been seen, selects; weights and the final refinement table
-learn online, choice by choice in small batches, from predictions that leave the word itself out. The result is a
-normalised probability for any token, seen or not.
+A text is its words, A-Z lower-cased, and an end. The common words, the end and an escape have a binary code (Huffman's,
+by training counts), and each bit of it is predicted along the text by several predictors: how often either bit followed
+at this node of the code (order 0), after the word before, and after the two words before, in all training text; and how
+often it did so far in this document, alone and after the word before. The last four look up hashed tables. Their
+stretched probabilities are combined by weights that a gate, how much the contexts of two words and of one were seen,
+selects; a refinement table corrects the outcome. Weights and refinement start from those fitted to the training
+documents and follow each document online, a block of words after the other, as the document's own counts do.
 
-Exact token counts enter on top: a seen token keeps its count less a discount, and the discounted mass goes to the
-spelled probability. Counts are also kept by class of document (classes of byte pairs, found without labels), and a
-document's score is the total of its classes' mixture. That total equals what one gets by updating the classes'
-weights after each token.
+After an escape the word itself is spelled: a mixture, normalised over all words, of its discounted training count among
+such words and its probability byte by byte. That spelling is another mixer of the same kind, whose contexts are the last
+bytes of the word, trained on the vocabulary.
 
-Scores do not depend on partitioning but for the rounding of sums and the averaging of weights over training tasks.
+Scores do not depend on partitioning but for the averaging of fitted weights over training tasks.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,23 +25,30 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, hashed_to, words_of, written
+from .common import chunks, frugal, hashed_to, words_of, written
 
 #: Bytes of context of each predictor, and the slots of its table (log2).
 ORDERS, TABLE_BITS = (1, 2, 3, 4, 6), 18
 #: Steps by which a gate tells how often the longest context was seen.
 SEEN, BINS = 4, 24
-#: Classes of documents, and the documents they are found on (about).
-CLASSES, CLASS_SAMPLE = 6, 3000
-FEATURES = 128
-#: Words whose counts are broadcast, at most; a worker remembers as many more words again and again.
-HEAD, KNOWN_WORDS = 150_000, 400_000
+#: Common words, at most, which are broadcast, and their bytes; others are escaped, and their counts joined.
+HEAD, HEAD_BYTES = 150_000, 256
+#: Rare words whose spelling a worker remembers.
+KNOWN_WORDS = 400_000
 #: Words that a training task learns from, about, and symbols that go through the mixer together.
 TASK_WORDS, STEP = 300_000, 2048
 FLAT = 1 << 18
+#: Slots of a table of word contexts (log2), and of a document's own tables, at most (log2).
+CONTEXT_BITS, OWN_BITS = 20, 16
+#: Words of a document between two updates, at first and after so many words; and bits of training text.
+BLOCK, LONG_BLOCK, LONG_AFTER, FIT_BITS = 32, 256, 512, 16_384
+#: Bytes of text that are scored side by side, and words that are counted at once.
+CHUNK, COUNTED = 2 << 20, 1 << 14
+#: Predictors, weight sets and rate of the mixer over running text.
+INPUTS, GATES, RATE = 5, SEEN * SEEN, 0.02
 
 
 @dataclass
@@ -145,105 +153,304 @@ def log_probabilities(model: Speller, words: list[bytes]) -> np.ndarray:
     return out
 
 
-def pair_shares(text: bytes) -> np.ndarray:
-    """Shares of byte pairs, hashed to FEATURES lanes, as square roots (so that distances compare distributions)."""
-    data = np.frombuffer(text, np.uint8).astype(np.int64)
-    if len(data) < 2:
-        return np.zeros(FEATURES)
-    lanes = np.bincount((data[:-1] * 31 + data[1:] * 17) % 251 % FEATURES, minlength=FEATURES)
-    return np.sqrt(lanes / lanes.sum())
+@dataclass
+class Code:
+    """Binary code of common words. A word's nodes and bits are `size` entries of `nodes` and `bits` from `start` on."""
+
+    words: list[bytes]
+    start: np.ndarray
+    size: np.ndarray
+    nodes: np.ndarray
+    bits: np.ndarray
+    counts: np.ndarray
+    #: Training counts of the words.
+    seen: np.ndarray
+
+    @property
+    def escape(self) -> int:
+        return len(self.words)
+
+
+def huffman(words: list[bytes], counts: list[int], escaped: int) -> Code:
+    """Huffman's code of the words and, last, the escape; `counts` per node says how often either bit is next."""
+    weights = [max(1, c) for c in counts] + [max(1, escaped)]
+    n = len(weights)
+    heap = [(w, i) for i, w in enumerate(weights)]
+    heapq.heapify(heap)
+    above, side = np.zeros(2 * n, np.int64), np.zeros(2 * n, np.uint8)
+    node_counts = np.zeros((max(1, n - 1), 2), np.float32)
+    for node in range(n, 2 * n - 1):
+        (w0, a), (w1, b) = heapq.heappop(heap), heapq.heappop(heap)
+        above[a], above[b], side[b] = node, node, 1
+        node_counts[node - n] = w0, w1
+        heapq.heappush(heap, (w0 + w1, node))
+    root, at, levels = 2 * n - 2, np.arange(n), []
+    while (at != root).any():
+        inside = at != root
+        levels.append((inside, above[at] - n, side[at]))
+        at = np.where(inside, above[at], root)
+    size = np.sum([i for i, _, _ in levels], axis=0, dtype=np.int64) if levels else np.zeros(n, np.int64)
+    start = np.cumsum(size) - size
+    nodes, bits = np.zeros(int(size.sum()), np.int32), np.zeros(int(size.sum()), np.uint8)
+    for up, (inside, node, bit) in enumerate(levels):  # from the leaf up: the path is stored from the root down
+        place = (start + size - 1 - up)[inside]
+        nodes[place], bits[place] = node[inside], bit[inside]
+    return Code(words, start, size, nodes, bits, node_counts, np.array(counts, np.int64))
 
 
-def find_classes(shares: np.ndarray, k: int = CLASSES, rounds: int = 12) -> np.ndarray:
-    """Centres by k-means, started from the farthest points in turn."""
-    if not len(shares):
-        return np.zeros((1, FEATURES))
-    centres = [shares.mean(0)]
-    while len(centres) < min(k, len(shares)):
-        centres.append(shares[np.min([((shares - c) ** 2).sum(1) for c in centres], 0).argmax()])
-    centres = np.array(centres)
-    for _ in range(rounds):
-        own = ((shares[:, None] - centres) ** 2).sum(2).argmin(1)
-        centres = np.array([shares[own == i].mean(0) if (own == i).any() else centres[i] for i in range(len(centres))])
-    return centres
+@dataclass
+class Mixer:
+    """Weights per predictor and gate, and refinement per bin; counts of the two hashed word contexts: (2, slots, 2)."""
+
+    counts: np.ndarray
+    weights: np.ndarray = field(default_factory=lambda: np.full((INPUTS, GATES), 0.3, np.float32))
+    refined: np.ndarray = field(default_factory=lambda: (1 / (1 + np.exp(-np.linspace(-8, 8, BINS)))).astype(np.float32))
+
+
+def word_contexts(codes: np.ndarray, per_doc: np.ndarray) -> np.ndarray:
+    """Hashes of the word before, and of the two before, of each word; at a text's start there are none."""
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+    out, hashed = np.zeros((2, len(codes)), np.uint64), np.zeros(len(codes), np.uint64)
+    for back in (1, 2):
+        before = np.zeros(len(codes), np.uint64)
+        before[back:] = codes[:-back] + 1
+        before[place < back] = 0
+        hashed = (hashed + before + np.uint64(back)) * np.uint64(0x9E3779B97F4A7C15)
+        hashed ^= hashed >> np.uint64(31)
+        out[back - 1] = hashed
+    return out
+
+
+def context_slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    return (((context + node.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64)
+
+
+def bits_of(code: Code, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The word, node and bit of each choice that the words take."""
+    size = code.size[codes]
+    word = np.repeat(np.arange(len(codes)), size)
+    at = np.arange(len(word)) + np.repeat(code.start[codes] - (np.cumsum(size) - size), size)
+    return word, code.nodes[at], code.bits[at]
+
+
+def pairs(counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Both counts of each entry in one look-up, as a complex number's parts."""
+    return counts.reshape(-1).view(np.complex64).take(at)
+
+
+def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return np.clip(np.log((n1 + np.float32(0.2)) / (n0 + np.float32(0.2))), -10, 10)
+
+
+def blocks(model: Mixer, code: Code, codes: np.ndarray, per_doc: np.ndarray, left_out: bool) -> Iterator[tuple]:
+    """Blocks of all documents side by side, the first of each, then the second...: (document, x, gate, bit) per choice.
+
+    Documents come longest first, so those that still have words are the first ones; `document` is the place in that order,
+    and `order` (in the first item, alone) says which that is. Counts of a document's own are those of its blocks before.
+    With `left_out`, training counts leave out one sight of the choice itself."""
+    order = np.argsort(-per_doc, kind="stable")
+    length, begin = per_doc[order], (np.cumsum(per_doc) - per_doc)[order]
+    contexts = word_contexts(codes, per_doc)
+    bits = np.add.reduceat(np.append(code.size[codes], 0), np.cumsum(per_doc) - per_doc)[order] if len(codes) else np.zeros(0, np.int64)
+    room = 1 << np.minimum(OWN_BITS, np.log2(np.maximum(bits, 2)).astype(np.int64))
+    first, own = np.cumsum(room) - room, np.zeros((2, int(room.sum()), 2), np.float32)
+    yield order
+    longest = int(length[0]) if len(length) else 0
+    for at in [*range(0, min(longest, LONG_AFTER), BLOCK), *range(LONG_AFTER, longest, LONG_BLOCK)]:
+        most = BLOCK if at < LONG_AFTER else LONG_BLOCK
+        active = int(np.searchsorted(-length, -at, "left"))
+        size = np.minimum(most, length[:active] - at)
+        doc_of_word = np.repeat(np.arange(active), size)
+        words = np.arange(len(doc_of_word)) + np.repeat(begin[:active] + at - (np.cumsum(size) - size), size)
+        word, node, bit = bits_of(code, codes[words])
+        doc, hit = doc_of_word[word], bit.astype(np.float32)
+        x, gate = np.empty((INPUTS, len(node)), np.float32), np.zeros(len(node), np.int64)
+        slot = [context_slots(c.take(words).take(word), node) for c in contexts]
+        for i, n in enumerate((pairs(code.counts, node), pairs(model.counts[0], slot[0]), pairs(model.counts[1], slot[1]))):
+            n0, n1 = n.real, n.imag
+            if left_out:
+                n0, n1 = np.maximum(n0 - (1 - hit), 0), np.maximum(n1 - hit, 0)
+            x[i] = stretched(n0, n1)
+            if i:
+                sights = n0 + n1
+                gate += sum((sights >= 4**step - 1).astype(np.int64) for step in range(1, SEEN)) * SEEN ** (i - 1)
+        mask, base = (room[doc] - 1), first[doc]
+        alone = base + ((node.astype(np.int64) * 0x9E3779B1 >> 7) & mask)
+        after = base + (slot[0] & mask)
+        for i, spot in enumerate((alone, after)):
+            n = pairs(own[i], spot)
+            x[3 + i] = stretched(n.real, n.imag)
+        yield doc, x, gate, bit
+        for i, spot in enumerate((alone, after)):
+            np.add.at(own[i].reshape(-1), spot * 2 + bit, np.float32(1))
+
+
+def mixed(x: np.ndarray, at: np.ndarray, doc: np.ndarray, bit: np.ndarray, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
+    """Probability of each choice that was taken; then weights (predictor, set) and refinement (document, bin) follow, in place."""
+    z = np.zeros(len(at), np.float32)
+    for i in range(INPUTS):
+        z += x[i] * weights[i][at]
+    z = np.clip(z, -7.99, 7.99)
+    p = 1 / (1 + np.exp(-z))
+    spot = (z + 8) * np.float32((BINS - 1) / 16)
+    low = spot.astype(np.int64)
+    part = spot - low
+    flat, bins = refined.reshape(-1), doc * BINS + low
+    q = flat[bins] * (1 - part) + flat[bins + 1] * part
+    error, sets = bit - p, weights.shape[1]
+    scale = RATE / np.sqrt(np.maximum(np.bincount(at, minlength=sets), 1))
+    for i in range(INPUTS):
+        weights[i] += scale * np.bincount(at, x[i] * error, minlength=sets)
+    near = bins + (part > 0.5)
+    hits, ones = np.bincount(near, minlength=len(flat)), np.bincount(near, bit, minlength=len(flat))
+    flat += (ones - hits * flat) * np.minimum(0.5 / np.maximum(hits, 1), 1 / (hits + 400.0))
+    p = np.clip((p + q) / 2, 1e-5, 1 - 1e-5)
+    return np.where(bit == 1, p, 1 - p)
+
+
+def fit(model: Mixer, code: Code, codes: np.ndarray, per_doc: np.ndarray) -> int:
+    """The model's weights and refinement follow training documents, FIT_BITS choices at a time; the number of choices."""
+    each, n = blocks(model, code, codes, per_doc, left_out=True), 0
+    next(each)
+    refined = model.refined.reshape(1, -1)
+    for _, x, gate, bit in each:
+        for a in range(0, len(bit), FIT_BITS):
+            part = slice(a, a + FIT_BITS)
+            mixed(x[:, part], gate[part], np.zeros(len(bit[part]), np.int64), bit[part], model.weights, refined)
+        n += len(bit)
+    return n
+
+
+def text_scores(model: Mixer, code: Code, codes: np.ndarray, per_doc: np.ndarray) -> np.ndarray:
+    """log10 of each text's probability, an escaped word's own left out; every text starts from the model's state."""
+    each = blocks(model, code, codes, per_doc, left_out=False)
+    order, out = next(each), np.zeros(len(per_doc))
+    weights, refined = np.tile(model.weights, len(per_doc)), np.tile(model.refined, (len(per_doc), 1))
+    for doc, x, gate, bit in each:
+        active = int(doc[-1]) + 1
+        p = mixed(x, doc * GATES + gate, doc, bit, weights[:, : active * GATES], refined[:active])
+        out[:active] += np.bincount(doc, np.log10(p), minlength=active)
+    total = np.empty(len(per_doc))
+    total[order] = out
+    return total
 
 
 def _texts(batch: pa.RecordBatch) -> pa.Array:
     return pc.ascii_lower(pc.fill_null(batch.column("text"), ""))
 
 
-def classes_of(texts: pa.Array, centres: np.ndarray) -> np.ndarray:
-    shares = np.array([pair_shares(t) for t in texts.cast(pa.binary()).to_pylist()]).reshape(-1, FEATURES)
-    return (-2 * shares @ centres.T + (centres**2).sum(1)).argmin(1)
+def coded(texts: pa.Array, code: Code, values: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Codes of all words with each text's end, tokens per text, and the escaped words with the text of each."""
+    words, per_doc = words_of(texts)
+    found = pc.index_in(words, value_set=values)
+    rare = pc.is_null(found).to_numpy(zero_copy_only=False)
+    own = pc.fill_null(found, code.escape).to_numpy().astype(np.int64)
+    codes = np.insert(own, np.cumsum(per_doc), code.words.index(b""))
+    return codes, per_doc.astype(np.int64) + 1, words.filter(pa.array(rare)), np.repeat(np.arange(len(per_doc)), per_doc)[rare]
 
 
-def class_centres(training: DataFrame) -> np.ndarray:
-    """Classes of documents from a sample of about CLASS_SAMPLE of them, by hashed id."""
+def counted_words(training: DataFrame) -> DataFrame:
+    """(word, count): how often each training token occurs. The empty word is the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            shares = [pair_shares(t).tolist() for t in _texts(batch).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shares, pa.list_(pa.float64()))], names=["doc_id", "shares"])
+            words, per_doc = words_of(_texts(batch))
+            found = pc.value_counts(words)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([found.field("values"), pa.array([b""], pa.binary())]), pa.concat_arrays([found.field("counts"), pa.array([len(per_doc)])])], names=["word", "n"])
 
-    share = min(1.0, CLASS_SAMPLE / max(1, training.count()))
-    chosen = training.where(F.pmod(F.xxhash64("doc_id", F.lit("class")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = chosen.mapInArrow(run, "doc_id long, shares array<double>").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["shares"]))
-    return find_classes(np.array([r["shares"] for r in rows]))
+    return training.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("count"))
 
 
-def counted_words(training: DataFrame, centres: np.ndarray) -> DataFrame:
-    """(word, counts, count): how often each training token occurs, by class and in all. The empty word is the end."""
-    k = len(centres)
+def summed_tables(rows: DataFrame, shape: tuple[int, ...], cut: int) -> np.ndarray:
+    """Sum of tables that came in pieces of `cut` numbers (part, own); a task holds the sums of its parts alone."""
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, own in zip(batch.column("part").to_pylist(), batch.column("own").to_pylist()):
+                own = np.frombuffer(own, np.uint32)
+                sums[part] = sums[part] + own if part in sums else own.astype(np.float64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.astype(np.float32).tobytes() for s in sums.values()], pa.binary())], names=["part", "own"])
+
+    out = np.zeros(int(np.prod(shape)), np.float32)
+    for part, own in rows.repartition(32, "part").mapInArrow(total, "part long, own binary").collect():
+        out[part * cut : (part + 1) * cut] = np.frombuffer(own, np.float32)
+    return out.reshape(shape)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            texts = _texts(batch)
-            words, per_doc = words_of(texts)
-            own = classes_of(texts, centres)
-            coded = words.dictionary_encode()
-            at = np.repeat(own, per_doc) * max(1, len(coded.dictionary)) + coded.indices.to_numpy()
-            found, n = np.unique(at, return_counts=True)
-            ends = np.bincount(own, minlength=k)
-            columns = [pa.concat_arrays([coded.dictionary.take(pa.array(found % max(1, len(coded.dictionary)))), pa.array([b""] * k, pa.binary())]), pa.array(np.concatenate((found // max(1, len(coded.dictionary)), np.arange(k)))), pa.array(np.concatenate((n, ends)))]
-            yield pa.RecordBatch.from_arrays(columns, names=["word", "class", "n"])
 
-    rows = training.mapInArrow(run, "word binary, class long, n long")
-    sums = [F.sum(F.when(F.col("class") == i, F.col("n")).otherwise(F.lit(0))).alias(f"c{i}") for i in range(k)]
-    counts = rows.groupBy("word").agg(F.sum("n").alias("count"), *sums).where("count > 0")
-    return counts.select("word", "count", F.array(*(f"c{i}" for i in range(k))).alias("counts"))
+def pieces(counts: np.ndarray, cut: int) -> pa.RecordBatch:
+    """A table's pieces that hold anything."""
+    flat = counts.reshape(-1, cut)
+    full = np.flatnonzero(flat.any(1))
+    return pa.RecordBatch.from_arrays([pa.array(full), pa.array([flat[i].tobytes() for i in full], pa.binary())], names=["part", "own"])
+
+
+def train_mixer(training: DataFrame, code: Code) -> Mixer:
+    """Counts of word contexts over all training text; then weights and refinement averaged over tasks that learn online."""
+    shape, cut = (2, 1 << CONTEXT_BITS, 2), 1 << 12
+    context = training.sparkSession.sparkContext
+    shared = context.broadcast(code)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = shared.value
+        counts, values = np.zeros(shape, np.uint32), pa.array(code.words, pa.binary())
+        for batch in chunks(batches):
+            codes, per_doc, _, _ = coded(_texts(batch), code, values)
+            contexts = word_contexts(codes, per_doc)
+            for at in range(0, len(codes), COUNTED):
+                word, node, bit = bits_of(code, codes[at : at + COUNTED])
+                for i in (0, 1):
+                    np.add.at(counts[i].reshape(-1), context_slots(contexts[i][at : at + COUNTED][word], node) * 2 + bit, np.uint32(1))
+        yield pieces(counts, cut)
+
+    model = Mixer(summed_tables(training.mapInArrow(frugal(count), "part long, own binary"), shape, cut))
+    tables = context.broadcast(model.counts)
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n, code = Mixer(tables.value), 0, shared.value
+        values = pa.array(code.words, pa.binary())
+        for batch in chunks(batches, limit=CHUNK):
+            codes, per_doc, _, _ = coded(_texts(batch), code, values)
+            n += fit(own, code, codes, per_doc)
+        sums = [(n * a.astype(np.float64)).tobytes() for a in (own.weights, own.refined)]
+        yield pa.RecordBatch.from_arrays([pa.array([n]), *(pa.array([s], pa.binary()) for s in sums)], names=["n", "weights", "refined"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, w, r = 0, np.zeros(INPUTS * GATES), np.zeros(BINS)
+        for batch in batches:
+            for m, weights, refined in zip(*(batch.column(c).to_pylist() for c in ("n", "weights", "refined"))):
+                n, w, r = n + m, w + np.frombuffer(weights), r + np.frombuffer(refined)
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([w.tobytes()], pa.binary()), pa.array([r.tobytes()], pa.binary())], names=["n", "weights", "refined"])
+
+    schema = "n long, weights binary, refined binary"
+    fitted = training.mapInArrow(frugal(learned), schema).repartition(8).mapInArrow(added, schema).collect()
+    n = sum(r["n"] for r in fitted)
+    if n:
+        mean = lambda c, like: (sum(np.frombuffer(r[c]) for r in fitted) / n).reshape(like.shape).astype(np.float32)
+        model.weights, model.refined = mean("weights", model.weights), mean("refined", model.refined)
+    return model
 
 
 def train_speller(words: DataFrame, n_words: int) -> Speller:
     """Tables summed over all training words; then weights and refinement averaged over tasks that each learn online."""
-    parts = int(np.clip(n_words // TASK_WORDS, 1, 256))
-    vocabulary = words.select("word").repartition(parts, "word")
-    size, cut = 1 << TABLE_BITS, 1 << 14
+    vocabulary = words.select("word").repartition(max(1, n_words // TASK_WORDS), "word")
+    shape, cut = (len(ORDERS), 1 << TABLE_BITS, 2), 1 << 12
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(ORDERS), size, 2), np.int64)
+        counts = np.zeros(shape, np.uint32)
         for batch in batches:
             symbols, contexts, _ = spelled(batch.column(0).to_pylist()) if batch.num_rows else (np.zeros(0, np.uint64), np.zeros((len(ORDERS), 0), np.uint64), None)
             for place in range(8):
                 bit, node = bit_at(symbols, place)
                 for i in range(len(ORDERS)):
-                    counts[i] += np.bincount(slots(contexts[i], node) * 2 + bit, minlength=2 * size).reshape(size, 2)
-        flat = counts.reshape(-1, cut)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array([row.tobytes() for row in flat.astype(np.uint32)], pa.binary())], names=["part", "own"])
-
-    def total(key: tuple, table: pa.Table) -> pa.Table:
-        own = sum(np.frombuffer(b, np.uint32).astype(np.float32) for b in table.column("own").to_pylist())
-        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([own.tobytes()], pa.binary())], names=["part", "own"])
-
-    schema = "part long, own binary"
-    summed = vocabulary.mapInArrow(count, schema).groupBy("part").applyInArrow(total, schema).collect()
-    counts = np.zeros(len(ORDERS) * size * 2, np.float32)
-    for part, own in summed:
-        counts[part * cut : (part + 1) * cut] = np.frombuffer(own, np.float32)
-    model = Speller(counts.reshape(len(ORDERS), size, 2))
+                    np.add.at(counts[i].reshape(-1), slots(contexts[i], node) * 2 + bit, np.uint32(1))
+        yield pieces(counts, cut)
+
+    model = Speller(summed_tables(vocabulary.mapInArrow(count, "part long, own binary"), shape, cut))
     shared = words.sparkSession.sparkContext.broadcast(model.counts)
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n = Speller(shared.value), 0
         for batch in batches:
             learn(own, batch.column(0).to_pylist())
@@ -251,7 +458,7 @@ def train_speller(words: DataFrame, n_words: int) -> Speller:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([own.weights.tobytes()], pa.binary()), pa.array([own.refined.tobytes()], pa.binary())], names=["n", "weights", "refined"])
 
-    fitted = vocabulary.sortWithinPartitions(F.xxhash64("word")).mapInArrow(fit, "n long, weights binary, refined binary").collect()
+    fitted = vocabulary.sortWithinPartitions(F.xxhash64("word")).mapInArrow(learned, "n long, weights binary, refined binary").collect()
     if fitted:
         fitted.sort(key=lambda r: (r["n"], bytes(r["weights"])))
         n = np.array([r["n"] for r in fitted], float)
@@ -262,85 +469,64 @@ def train_speller(words: DataFrame, n_words: int) -> Speller:
 
 @dataclass
 class Totals:
-    """Sums over training tokens. N, V and discount d in all and by class; the classes' weights."""
+    """Of training tokens: number, distinct ones; of those that are escaped: number, distinct ones, discount."""
 
     n: int
     v: int
-    d: float
-    n_class: list[int]
-    v_class: list[int]
-
-    def __post_init__(self) -> None:
-        #: Without training text everything is spelled.
-        self.spelled = self.d * self.v / self.n if self.n else 1.0
-        self.backed = [self.d * v / n if n else 1.0 for n, v in zip(self.n_class, self.v_class)]
-
-    def base(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + 1) / (self.n + self.v + 1))
-
-    def of_classes(self, c: np.ndarray, by_class: np.ndarray, lp: np.ndarray) -> np.ndarray:
-        """log10 of the token's probability in each class."""
-        with np.errstate(divide="ignore"):
-            all_ = np.where(c > 0, np.log10(np.maximum(c - self.d, 0) / max(1, self.n) + self.spelled * 10**lp), np.log10(self.spelled) + lp)
-            own = [np.where(by_class[:, k] > 0, np.log10(np.maximum(by_class[:, k] - self.d, 0) / max(1, n) + b * 10**all_), np.log10(b) + all_) for k, (n, b) in enumerate(zip(self.n_class, self.backed))]
-        return np.stack(own, axis=1)
-
-    def sql_of_class(self, k: int | None, lp: Column) -> Column:
-        """The same in Spark, of one class (None: in all), for a row with count and counts."""
-        c, n, b = (F.col("count"), self.n, self.spelled) if k is None else (F.get("counts", F.lit(k)), self.n_class[k], self.backed[k])
-        c = F.coalesce(c, F.lit(0))
-        return F.when(c > 0, F.log10((c - self.d) / max(1, n) + b * F.pow(F.lit(10.0), lp))).otherwise(F.log10(F.lit(b)) + lp)
-
-
-def totals_of(words: DataFrame, k: int) -> Totals:
-    by_class = [F.sum(F.get("counts", F.lit(i))).alias(f"n{i}") for i in range(k)] + [F.count_if(F.get("counts", F.lit(i)) > 0).alias(f"v{i}") for i in range(k)]
-    r = words.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("count") == 1).alias("once"), F.count_if(F.col("count") == 2).alias("twice"), *by_class).collect()[0]
-    d = min(0.95, max(0.1, r["once"] / (r["once"] + 2 * r["twice"]))) if r["once"] else 0.5
-    return Totals(r["n"], r["v"], d, [r[f"n{i}"] or 0 for i in range(k)], [r[f"v{i}"] for i in range(k)])
-
-
-def head_words(words: DataFrame) -> list:
-    """The commonest words: those with a count of at least the power of two that leaves HEAD at most."""
-    levels = words.groupBy(F.floor(F.log2("count")).alias("level")).agg(F.count("*").alias("n")).collect()
-    least, room = 64, HEAD
-    for r in sorted(levels, key=lambda r: -r["level"]):
-        room -= r["n"]
-        if room < 0:
+    rare_n: int
+    rare_v: int
+    discount: float
+
+    @property
+    def spelled(self) -> float:
+        """Share of escaped words that spelling accounts for; all, where training has none."""
+        return self.discount * self.rare_v / self.rare_n if self.rare_n else 1.0
+
+
+def code_of(words: DataFrame) -> tuple[Code, Totals, DataFrame]:
+    """The code of the common words, totals, and the rows of `words` that the code leaves out.
+
+    Common are words of HEAD_BYTES at most that occur twice, or as often as the least power of two that leaves HEAD of them."""
+    short = F.length("word") <= HEAD_BYTES
+    grouped = words.groupBy(F.floor(F.log2("count")).alias("level"), short.alias("short"))
+    levels = grouped.agg(F.count("*").alias("v"), F.sum("count").alias("n"), F.count_if(F.col("count") == 1).alias("once"), F.count_if(F.col("count") == 2).alias("twice")).collect()
+    least, room = 62, HEAD
+    for r in sorted((r for r in levels if r["short"]), key=lambda r: -r["level"]):
+        room -= r["v"]
+        if room < 0 or r["level"] < 1:
             break
         least = r["level"]
-    return words.where(F.col("count") >= F.lit(2**least)).collect() if least < 63 else []
-
-
-class Scorer:
-    """Word values, remembered between the batches of a task: whether in the head, and log10 probabilities."""
-
-    def __init__(self, model: Speller, head: dict[bytes, tuple[int, list[int]]], totals: Totals):
-        self.model, self.head, self.totals = model, head, totals
+    common = (F.length("word") == 0) | (short & (F.col("count") >= F.lit(2**least)))
+    head = sorted((-r["count"], bytes(r["word"])) for r in words.where(common).collect())
+    n, v = sum(r["n"] for r in levels), sum(r["v"] for r in levels)
+    once, twice = sum(r["once"] for r in levels), sum(r["twice"] for r in levels)
+    rare_n, rare_v = n + sum(c for c, _ in head), v - len(head)
+    if not any(not w for _, w in head):
+        head.append((0, b""))
+    discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+    return huffman([w for _, w in head], [-c for c, _ in head], rare_n), Totals(n, v, rare_n, rare_v, discount), words.where(~common)
+
+
+class Spellings:
+    """log10 spelled probabilities of rare words, remembered between the batches of a task."""
+
+    def __init__(self, model: Speller):
+        self.model = model
         self.forget()
 
     def forget(self) -> None:
-        k = len(self.totals.n_class)
-        self.words, self.known = pa.array([], pa.binary()), np.zeros(0, np.int64)
-        self.lp, self.base, self.by_class = np.zeros(0), np.zeros(0), np.zeros((0, k))
+        self.words, self.lp = pa.array([], pa.binary()), np.zeros(0)
 
-    def codes(self, words: pa.Array) -> np.ndarray:
+    def of(self, words: pa.Array) -> np.ndarray:
         if len(self.words) > KNOWN_WORDS:
             self.forget()
         found = pc.index_in(words, value_set=self.words)
         if found.null_count:
             new = pc.unique(words.filter(pc.is_null(found)))
-            own = new.to_pylist()
-            lp, k = log_probabilities(self.model, own), len(self.totals.n_class)
-            got = [self.head.get(w) for w in own]
-            known = np.array([g is not None for g in got], np.int64)
-            c = np.array([g[0] if g else 0 for g in got])
-            by_class = np.array([g[1] if g else [0] * k for g in got]).reshape(-1, k)
-            self.lp, self.known = np.concatenate((self.lp, lp)), np.concatenate((self.known, known))
-            self.base = np.concatenate((self.base, np.where(known, self.totals.base(c), 0)))
-            self.by_class = np.concatenate((self.by_class, self.totals.of_classes(c, by_class, lp) * known[:, None]))
+            self.lp = np.concatenate((self.lp, log_probabilities(self.model, new.to_pylist())))
             self.words = pa.concat_arrays([self.words, new])
             found = pc.index_in(words, value_set=self.words)
-        return found.to_numpy().astype(np.int64)
+        return self.lp[found.to_numpy()]
 
 
 def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
@@ -348,65 +534,54 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
 
     Per row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (of the
     lower-cased text). Tokens are the words, A-Z lower-cased, and one end; a null text is empty. A null doc_id is never
-    learned from and counts as held out. Without training text tokens are only spelled. Extra columns are ignored.
+    learned from and counts as held out. Without training text words are only spelled. Rows that repeat get equal
+    scores. Extra columns are ignored.
 
-    Counts of the commonest words, HEAD at most, are broadcast. Other words of a document are joined with the
-    counts by word; no such word is common, so the join is not skewed.
+    The code of the commonest words, HEAD at most, is broadcast, as are tables of fixed size. Other words of a document
+    are joined with the counts by word; no such word is common, so the join is not skewed.
     """
     out = F.coalesce(hashed_to(F.col("doc_id"), folds) == held, F.lit(True))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), F.col("text").cast("string").alias("text"))
-    training = plain.where(~F.col("held_out")).select("doc_id", "text")
-    centres = class_centres(training)
-    k = len(centres)
-    words = written(counted_words(training, centres))
-    totals = totals_of(words, k)
-    model = train_speller(words.where(F.length("word") > 0), totals.v)
-    head = {bytes(r["word"]): (r["count"], list(r["counts"])) for r in head_words(words)}
-    end = words.where(F.length("word") == 0).collect()
-    end_count = end[0]["count"] if end else 0
-    end_lp = log_probabilities(model, [b""])
-    end_base = float(totals.base(np.array([end_count]))[0])
-    end_classes = totals.of_classes(np.array([end_count]), np.array([end[0]["counts"] if end else [0] * k]), end_lp)[0]
-    shared = docs.sparkSession.sparkContext.broadcast((model, head, totals))
+    training = plain.where(~F.col("held_out")).select("text")
+    words = written(counted_words(training))
+    code, totals, rare_counts = code_of(words)
+    speller = train_speller(words.where(F.length("word") > 0), totals.v)
+    mixer = train_mixer(training, code)
+    known = np.append(code.seen > 0, False)
+    base = np.append(np.log10((code.seen + 1) / (totals.n + totals.v + 1)), 0.0)
+    shared = docs.sparkSession.sparkContext.broadcast((code, mixer, speller, known, base))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, number = Scorer(*shared.value), TaskContext.get().partitionId() << 33
-        for batch in chunks(batches):
+        code, mixer, speller, known, base = shared.value
+        values, spellings, number = pa.array(code.words, pa.binary()), Spellings(speller), TaskContext.get().partitionId() << 33
+        for batch in chunks(batches, limit=CHUNK):
             texts = _texts(batch)
-            flat, per_doc = words_of(texts)
-            codes = scorer.codes(flat)
-            bounds = np.concatenate(([0], np.cumsum(per_doc)))
-            summed = lambda v: np.diff(np.concatenate(([0], np.cumsum(v)))[bounds])
-            owner = np.repeat(np.arange(batch.num_rows), per_doc)
-            rare = scorer.known[codes] == 0
-            key, n = np.unique(owner[rare] * max(1, len(scorer.words)) + codes[rare], return_counts=True)
-            of, code = np.divmod(key, max(1, len(scorer.words)))
-            lists = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=batch.num_rows)))).astype(np.int32)
-            items = pa.StructArray.from_arrays([scorer.words.take(pa.array(code)), pa.array(n.astype(np.int64)), pa.array(scorer.lp[code])], names=["word", "n", "lp"])
-            by_class = np.stack([summed(scorer.by_class[codes, i]) for i in range(k)], axis=1) + end_classes
+            codes, per_doc, rare, of = coded(texts, code, values)
+            of_token = np.repeat(np.arange(batch.num_rows), per_doc)
+            table = rare.dictionary_encode()
+            size = max(1, len(table.dictionary))
+            lp = spellings.of(table.dictionary)
+            key, n = np.unique(of * size + table.indices.to_numpy(), return_counts=True)
+            owner, word = np.divmod(key, size)
+            lists = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=batch.num_rows)))).astype(np.int32)
+            items = pa.StructArray.from_arrays([table.dictionary.take(pa.array(word)), pa.array(n.astype(np.int64)), pa.array(lp[word])], names=["word", "n", "lp"])
+            sums = lambda v: np.bincount(of_token, v, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(number + np.arange(batch.num_rows)), batch.column("doc_id"), batch.column("held_out"), pa.array(per_doc.astype(np.int64) + 1), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(summed(scorer.known[codes]) + (1 if end_count else 0)), pa.array(summed(scorer.base[codes]) + end_base), pa.array(by_class.tolist(), pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(lists), items)],
-                names=["row", "doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base_score", "sums", "rare"],
+                [pa.array(number + np.arange(batch.num_rows)), batch.column("doc_id"), batch.column("held_out"), pa.array(per_doc), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(sums(known[codes]).astype(np.int64)), pa.array(sums(base[codes])), pa.array(text_scores(mixer, code, codes, per_doc)), pa.ListArray.from_arrays(pa.array(lists), items)],
+                names=["row", "doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base_score", "coded", "rare"],
             )
             number += batch.num_rows
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double, sums array<double>, rare array<struct<word: binary, n: long, lp: double>>"
-    parts = written(plain.mapInArrow(run, schema))
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double, coded double, rare array<struct<word: binary, n: long, lp: double>>"
+    parts = written(plain.mapInArrow(frugal(run), schema))
     rare = parts.select("row", F.explode("rare").alias("w")).select("row", F.col("w.word").alias("word"), F.col("w.n").alias("n"), F.col("w.lp").alias("lp"))
-    joined = rare.join(words, "word", "left").select("row", "n", F.coalesce("count", F.lit(0)).alias("count"), "counts", "lp")
-    joined = joined.withColumn("all", totals.sql_of_class(None, F.col("lp")))
-    sums = [F.sum(F.col("n") * totals.sql_of_class(i, F.col("all"))).alias(f"s{i}") for i in range(k)]
-    base = F.log10((F.col("count") + 1) / (totals.n + totals.v + 1))
-    rest = joined.groupBy("row").agg(F.sum(F.when(F.col("count") > 0, F.col("n")).otherwise(F.lit(0))).alias("more"), F.sum(F.col("n") * base).alias("more_base"), *sums)
-    both = parts.drop("rare").join(rest, "row", "left")
-    total = lambda i: F.get("sums", F.lit(i)) + F.coalesce(f"s{i}", F.lit(0.0))
-    tokens = max(1, sum(totals.n_class))
-    prior = [np.log10(n / tokens) if n else None for n in totals.n_class]
-    alive = [i for i in range(k) if prior[i] is not None] or [0]
-    logs = [total(i) + F.lit(float(prior[i] or 0.0)) for i in alive]
-    both = both.withColumn("logs", F.array(*logs)).withColumn("top", F.array_max("logs"))
-    mixed = F.col("top") + F.log10(F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x - F.col("top"))))
-    both = both.withColumn("score", mixed)
+    joined = rare.join(rare_counts, "word", "left").select("row", "n", F.coalesce("count", F.lit(0)).alias("count"), "lp")
+    by_spelling = F.log10(F.lit(totals.spelled)) + F.col("lp")
+    counted = F.log10((F.col("count") - totals.discount) / max(1, totals.rare_n) + totals.spelled * F.pow(F.lit(10.0), F.col("lp")))
+    own = F.when(F.col("count") > 0, counted).otherwise(by_spelling)
+    plus_one = F.log10((F.col("count") + 1) / (totals.n + totals.v + 1))
+    rest = joined.groupBy("row").agg(F.sum(F.when(F.col("count") > 0, F.col("n")).otherwise(F.lit(0))).alias("more"), F.sum(F.col("n") * plus_one).alias("more_base"), F.sum(F.col("n") * own).alias("more_score"))
+    both = parts.drop("rare").join(rest, "row", "left").withColumn("score", F.col("coded") + F.coalesce("more_score", F.lit(0.0)))
     return both.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),

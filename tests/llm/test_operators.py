@@ -56,6 +56,81 @@ def test_spelled_probabilities_sum_to_at_most_one():
     assert total + 10 ** context_mixing.log_probabilities(model, [b""])[0] <= 1 + 1e-9
 
 
+def prose(seed: int, n: int) -> list[bytes]:
+    """Words of a chain in which each word has two likely followers."""
+    drawn, word, out = random.Random(seed), 0, []
+    for _ in range(n):
+        word = (word * 7 + drawn.choice([3, 11])) % 60 if drawn.random() < 0.9 else drawn.randrange(60)
+        out.append(b"w%d" % word)
+    return out
+
+
+def trained(texts: list[list[bytes]]):
+    count = collections.Counter(w for t in texts for w in [*t, b""])
+    code = context_mixing.huffman(list(count), list(count.values()), 5)
+    codes, per_doc = coded_words(code, texts)
+    model = context_mixing.Mixer(np.zeros((2, 1 << context_mixing.CONTEXT_BITS, 2), np.float32))
+    contexts = context_mixing.word_contexts(codes, per_doc)
+    word, node, bit = context_mixing.bits_of(code, codes)
+    for i in (0, 1):
+        np.add.at(model.counts[i].reshape(-1), context_mixing.context_slots(contexts[i][word], node) * 2 + bit, 1)
+    context_mixing.fit(model, code, codes, per_doc)
+    return model, code
+
+
+def coded_words(code, texts):
+    at = {w: i for i, w in enumerate(code.words)}
+    return np.array([at.get(w, code.escape) for t in texts for w in [*t, b""]]), np.array([len(t) + 1 for t in texts])
+
+
+def test_code_is_a_prefix_code():
+    code = context_mixing.huffman([b"a", b"b", b"", b"c"], [50, 20, 3, 1], 0)
+    paths = ["".join(map(str, code.bits[s : s + n])) for s, n in zip(code.start, code.size)]
+    assert len(paths) == 5 and sum(2.0 ** -len(p) for p in paths) == 1 and len(paths[0]) == 1
+    assert not any(a != b and b.startswith(a) for a in paths for b in paths)
+
+
+def test_scores_follow_word_order_and_the_text_so_far():
+    model, code = trained([prose(i, 400) for i in range(40)])
+    text = prose(99, 600)
+    shuffled = random.Random(1).sample(text, len(text))
+    scores = context_mixing.text_scores(model, code, *coded_words(code, [text, shuffled, text + text, []]))
+    unigram = sum(math.log10(code.seen[code.words.index(w)] / code.seen.sum()) for w in [*text, b""])
+    assert scores[0] > 0.8 * unigram and scores[0] > scores[1] * 0.9
+    # The second time over, the text itself tells more than training did.
+    assert scores[2] > 1.98 * scores[0]
+    # A text's score is its own: neighbours in a batch do not count.
+    for i, t in enumerate([text, shuffled, text + text, []]):
+        assert context_mixing.text_scores(model, code, *coded_words(code, [t]))[0] == pytest.approx(scores[i], abs=1e-3)
+
+
+def test_mixing_equals_a_plain_loop():
+    rng, m = np.random.default_rng(5), context_mixing
+    x, bit = rng.normal(size=(m.INPUTS, 200)).astype(np.float32), rng.integers(0, 2, 200)
+    doc, gate = np.sort(rng.integers(0, 3, 200)), rng.integers(0, m.GATES, 200)
+    start, table = np.full((m.INPUTS, 3 * m.GATES), 0.3, np.float32), np.tile(m.Mixer(np.zeros(0)).refined, (3, 1))
+    weights, refined = start.astype(float), table.astype(float)
+    got_w, got_r = start.copy(), table.copy()
+    got = m.mixed(x, doc * m.GATES + gate, doc, bit, got_w, got_r)
+    steps, seen, near = np.zeros_like(weights), collections.Counter((doc * m.GATES + gate).tolist()), collections.defaultdict(list)
+    for j in range(200):
+        at = doc[j] * m.GATES + gate[j]
+        z = min(7.99, max(-7.99, sum(float(x[i, j]) * weights[i, at] for i in range(m.INPUTS))))
+        p, spot = 1 / (1 + math.exp(-z)), (z + 8) / 16 * (m.BINS - 1)
+        low = int(spot)
+        q = refined[doc[j], low] * (low + 1 - spot) + refined[doc[j], low + 1] * (spot - low)
+        mean = min(1 - 1e-5, max(1e-5, (p + q) / 2))
+        assert got[j] == pytest.approx(mean if bit[j] else 1 - mean, abs=1e-5)
+        for i in range(m.INPUTS):
+            steps[i, at] += m.RATE / math.sqrt(seen[at]) * x[i, j] * (bit[j] - p)
+        near[doc[j], low + (spot - low > 0.5)].append(bit[j])
+    assert np.allclose(got_w, weights + steps, atol=1e-5)
+    for (d, b), bits in near.items():
+        share = min(0.5, len(bits) / (len(bits) + 400))
+        refined[d, b] += share * (np.mean(bits) - refined[d, b])
+    assert np.allclose(got_r, refined, atol=1e-5)
+
+
 # 2
 
 
