@@ -36,8 +36,6 @@ ORDERS, TABLE_BITS = (1, 2, 3, 4, 6), 18
 SEEN, BINS = 4, 24
 #: Common words, at most, which are broadcast, and their bytes; others are escaped, and their counts joined.
 HEAD, HEAD_BYTES = 150_000, 256
-#: Rare words whose spelling a worker remembers.
-KNOWN_WORDS = 400_000
 #: Words that a training task learns from, about, and symbols that go through the mixer together.
 TASK_WORDS, STEP = 300_000, 2048
 FLAT = 1 << 18
@@ -349,16 +347,19 @@ def coded(texts: pa.Array, code: Code, values: pa.Array) -> tuple[np.ndarray, np
     return codes, per_doc.astype(np.int64) + 1, words.filter(pa.array(rare)), np.repeat(np.arange(len(per_doc)), per_doc)[rare]
 
 
-def counted_words(training: DataFrame) -> DataFrame:
-    """(word, count): how often each training token occurs. The empty word is the end."""
+def counted_words(docs: DataFrame) -> DataFrame:
+    """(word, count): all tokens, and how often training has each (0: held-out text alone). The empty word is the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            words, per_doc = words_of(_texts(batch))
-            found = pc.value_counts(words)
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([found.field("values"), pa.array([b""], pa.binary())]), pa.concat_arrays([found.field("counts"), pa.array([len(per_doc)])])], names=["word", "n"])
+            held = batch.column("held_out").to_numpy(zero_copy_only=False)
+            for out in np.unique(held):
+                words, per_doc = words_of(_texts(batch).filter(pa.array(held == out)))
+                found = pc.value_counts(words)
+                n = np.concatenate((found.field("counts").to_numpy(), [len(per_doc)])) * (1 - int(out))
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([found.field("values"), pa.array([b""], pa.binary())]), pa.array(n.astype(np.int64))], names=["word", "n"])
 
-    return training.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("count"))
+    return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("count"))
 
 
 def summed_tables(rows: DataFrame, shape: tuple[int, ...], cut: int) -> np.ndarray:
@@ -488,8 +489,8 @@ def code_of(words: DataFrame) -> tuple[Code, Totals, DataFrame]:
 
     Common are words of HEAD_BYTES at most that occur twice, or as often as the least power of two that leaves HEAD of them."""
     short = F.length("word") <= HEAD_BYTES
-    grouped = words.groupBy(F.floor(F.log2("count")).alias("level"), short.alias("short"))
-    levels = grouped.agg(F.count("*").alias("v"), F.sum("count").alias("n"), F.count_if(F.col("count") == 1).alias("once"), F.count_if(F.col("count") == 2).alias("twice")).collect()
+    grouped = words.where("count > 0").groupBy(F.floor(F.log2("count")).alias("level"), short.alias("short"))
+    levels = grouped.agg(F.count_if(F.col("count") > 0).alias("v"), F.sum("count").alias("n"), F.count_if(F.col("count") == 1).alias("once"), F.count_if(F.col("count") == 2).alias("twice")).collect()
     least, room = 62, HEAD
     for r in sorted((r for r in levels if r["short"]), key=lambda r: -r["level"]):
         room -= r["v"]
@@ -500,33 +501,23 @@ def code_of(words: DataFrame) -> tuple[Code, Totals, DataFrame]:
     head = sorted((-r["count"], bytes(r["word"])) for r in words.where(common).collect())
     n, v = sum(r["n"] for r in levels), sum(r["v"] for r in levels)
     once, twice = sum(r["once"] for r in levels), sum(r["twice"] for r in levels)
-    rare_n, rare_v = n + sum(c for c, _ in head), v - len(head)
+    rare_n, rare_v = n + sum(c for c, _ in head), v - sum(c < 0 for c, _ in head)
     if not any(not w for _, w in head):
         head.append((0, b""))
     discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
     return huffman([w for _, w in head], [-c for c, _ in head], rare_n), Totals(n, v, rare_n, rare_v, discount), words.where(~common)
 
 
-class Spellings:
-    """log10 spelled probabilities of rare words, remembered between the batches of a task."""
+def with_spelling(words: DataFrame, speller: Speller) -> DataFrame:
+    """The same rows and `lp`, log10 of the word's spelled probability."""
+    shared = words.sparkSession.sparkContext.broadcast(speller)
 
-    def __init__(self, model: Speller):
-        self.model = model
-        self.forget()
-
-    def forget(self) -> None:
-        self.words, self.lp = pa.array([], pa.binary()), np.zeros(0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "word"):
+            lp = log_probabilities(shared.value, batch.column("word").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("count"), pa.array(lp)], names=["word", "count", "lp"])
 
-    def of(self, words: pa.Array) -> np.ndarray:
-        if len(self.words) > KNOWN_WORDS:
-            self.forget()
-        found = pc.index_in(words, value_set=self.words)
-        if found.null_count:
-            new = pc.unique(words.filter(pc.is_null(found)))
-            self.lp = np.concatenate((self.lp, log_probabilities(self.model, new.to_pylist())))
-            self.words = pa.concat_arrays([self.words, new])
-            found = pc.index_in(words, value_set=self.words)
-        return self.lp[found.to_numpy()]
+    return words.mapInArrow(frugal(run), "word binary, count long, lp double")
 
 
 def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
@@ -538,33 +529,33 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     scores. Extra columns are ignored.
 
     The code of the commonest words, HEAD at most, is broadcast, as are tables of fixed size. Other words of a document
-    are joined with the counts by word; no such word is common, so the join is not skewed.
+    are joined with the counts and spellings by word, each spelled once; no such word is common but those of more than
+    HEAD_BYTES.
     """
     out = F.coalesce(hashed_to(F.col("doc_id"), folds) == held, F.lit(True))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), F.col("text").cast("string").alias("text"))
     training = plain.where(~F.col("held_out")).select("text")
-    words = written(counted_words(training))
+    words = written(counted_words(plain.select("held_out", "text")))
     code, totals, rare_counts = code_of(words)
-    speller = train_speller(words.where(F.length("word") > 0), totals.v)
+    speller = train_speller(words.where((F.length("word") > 0) & (F.col("count") > 0)), totals.v)
     mixer = train_mixer(training, code)
     known = np.append(code.seen > 0, False)
     base = np.append(np.log10((code.seen + 1) / (totals.n + totals.v + 1)), 0.0)
-    shared = docs.sparkSession.sparkContext.broadcast((code, mixer, speller, known, base))
+    shared = docs.sparkSession.sparkContext.broadcast((code, mixer, known, base))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, mixer, speller, known, base = shared.value
-        values, spellings, number = pa.array(code.words, pa.binary()), Spellings(speller), TaskContext.get().partitionId() << 33
+        code, mixer, known, base = shared.value
+        values, number = pa.array(code.words, pa.binary()), TaskContext.get().partitionId() << 33
         for batch in chunks(batches, limit=CHUNK):
             texts = _texts(batch)
             codes, per_doc, rare, of = coded(texts, code, values)
             of_token = np.repeat(np.arange(batch.num_rows), per_doc)
             table = rare.dictionary_encode()
             size = max(1, len(table.dictionary))
-            lp = spellings.of(table.dictionary)
             key, n = np.unique(of * size + table.indices.to_numpy(), return_counts=True)
             owner, word = np.divmod(key, size)
             lists = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=batch.num_rows)))).astype(np.int32)
-            items = pa.StructArray.from_arrays([table.dictionary.take(pa.array(word)), pa.array(n.astype(np.int64)), pa.array(lp[word])], names=["word", "n", "lp"])
+            items = pa.StructArray.from_arrays([table.dictionary.take(pa.array(word)), pa.array(n.astype(np.int64))], names=["word", "n"])
             sums = lambda v: np.bincount(of_token, v, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(number + np.arange(batch.num_rows)), batch.column("doc_id"), batch.column("held_out"), pa.array(per_doc), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(sums(known[codes]).astype(np.int64)), pa.array(sums(base[codes])), pa.array(text_scores(mixer, code, codes, per_doc)), pa.ListArray.from_arrays(pa.array(lists), items)],
@@ -572,10 +563,10 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
             )
             number += batch.num_rows
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double, coded double, rare array<struct<word: binary, n: long, lp: double>>"
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double, coded double, rare array<struct<word: binary, n: long>>"
     parts = written(plain.mapInArrow(frugal(run), schema))
-    rare = parts.select("row", F.explode("rare").alias("w")).select("row", F.col("w.word").alias("word"), F.col("w.n").alias("n"), F.col("w.lp").alias("lp"))
-    joined = rare.join(rare_counts, "word", "left").select("row", "n", F.coalesce("count", F.lit(0)).alias("count"), "lp")
+    rare = parts.select("row", F.explode("rare").alias("w")).select("row", F.col("w.word").alias("word"), F.col("w.n").alias("n"))
+    joined = rare.join(with_spelling(rare_counts, speller), "word")
     by_spelling = F.log10(F.lit(totals.spelled)) + F.col("lp")
     counted = F.log10((F.col("count") - totals.discount) / max(1, totals.rare_n) + totals.spelled * F.pow(F.lit(10.0), F.col("lp")))
     own = F.when(F.col("count") > 0, counted).otherwise(by_spelling)
