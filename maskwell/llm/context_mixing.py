@@ -45,6 +45,8 @@ CONTEXT_BITS, OWN_BITS = 20, 16
 BLOCK, LONG_BLOCK, LONG_AFTER, FIT_BITS = 32, 256, 512, 16_384
 #: Bytes of text that are scored side by side, and words that are counted at once.
 CHUNK, COUNTED = 2 << 20, 1 << 14
+#: Tokens of training text, about, for which a task sends one table of counts.
+TABLE_TOKENS = 10_000_000
 #: Predictors, weight sets and rate of the mixer over running text.
 INPUTS, GATES, RATE = 5, SEEN * SEEN, 0.02
 
@@ -387,11 +389,12 @@ def pieces(counts: np.ndarray, cut: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(full), pa.array([flat[i].tobytes() for i in full], pa.binary())], names=["part", "own"])
 
 
-def train_mixer(training: DataFrame, code: Code) -> Mixer:
+def train_mixer(training: DataFrame, code: Code, tokens: int) -> Mixer:
     """Counts of word contexts over all training text; then weights and refinement averaged over tasks that learn online."""
     shape, cut = (2, 1 << CONTEXT_BITS, 2), 1 << 12
     context = training.sparkSession.sparkContext
     shared = context.broadcast(code)
+    few = training.coalesce(max(context.defaultParallelism, tokens // TABLE_TOKENS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = shared.value
@@ -405,7 +408,7 @@ def train_mixer(training: DataFrame, code: Code) -> Mixer:
                     np.add.at(counts[i].reshape(-1), context_slots(contexts[i][at : at + COUNTED][word], node) * 2 + bit, np.uint32(1))
         yield pieces(counts, cut)
 
-    model = Mixer(summed_tables(training.mapInArrow(frugal(count), "part long, own binary"), shape, cut))
+    model = Mixer(summed_tables(few.mapInArrow(frugal(count), "part long, own binary"), shape, cut))
     tables = context.broadcast(model.counts)
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -538,7 +541,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     words = written(counted_words(plain.select("held_out", "text")))
     code, totals, rare_counts = code_of(words)
     speller = train_speller(words.where((F.length("word") > 0) & (F.col("count") > 0)), totals.v)
-    mixer = train_mixer(training, code)
+    mixer = train_mixer(training, code, totals.n)
     known = np.append(code.seen > 0, False)
     base = np.append(np.log10((code.seen + 1) / (totals.n + totals.v + 1)), 0.0)
     shared = docs.sparkSession.sparkContext.broadcast((code, mixer, known, base))
