@@ -205,6 +205,13 @@ class Mixer:
     counts: np.ndarray
     weights: np.ndarray = field(default_factory=lambda: np.full((INPUTS, GATES), 0.3, np.float32))
     refined: np.ndarray = field(default_factory=lambda: (1 / (1 + np.exp(-np.linspace(-8, 8, BINS)))).astype(np.float32))
+    tables: list[np.ndarray] | None = None
+
+    def packed(self, code: Code) -> list[np.ndarray]:
+        """The tables of orders 0 to 2 as scoring reads them: `counts` must not change any more."""
+        if self.tables is None:
+            self.tables = [packed(t) for t in (code.counts, *self.counts)]
+        return self.tables
 
 
 def word_contexts(codes: np.ndarray, per_doc: np.ndarray) -> np.ndarray:
@@ -238,6 +245,15 @@ def pairs(counts: np.ndarray, at: np.ndarray) -> np.ndarray:
     return counts.reshape(-1).view(np.complex64).take(at)
 
 
+def gate_step(sights: np.ndarray) -> np.ndarray:
+    return sum((sights >= 4**step - 1).astype(np.int64) for step in range(1, SEEN))
+
+
+def packed(counts: np.ndarray) -> np.ndarray:
+    """A table's stretched predictions, in steps of 1/800, and gate steps (the two lowest bits): two bytes for a slot's eight."""
+    return (np.rint((stretched(counts[:, 0], counts[:, 1]) + 10) * 800).astype(np.uint16) << 2) | gate_step(counts.sum(1)).astype(np.uint16)
+
+
 def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.clip(np.log((n1 + np.float32(0.2)) / (n0 + np.float32(0.2))), -10, 10)
 
@@ -266,14 +282,18 @@ def blocks(model: Mixer, code: Code, codes: np.ndarray, per_doc: np.ndarray, lef
         doc, hit = doc_of_word[word], bit.astype(np.float32)
         x, gate = np.empty((INPUTS, len(node)), np.float32), np.zeros(len(node), np.int64)
         slot = [context_slots(c.take(words).take(word), node) for c in contexts]
-        for i, n in enumerate((pairs(code.counts, node), pairs(model.counts[0], slot[0]), pairs(model.counts[1], slot[1]))):
-            n0, n1 = n.real, n.imag
-            if left_out:
-                n0, n1 = np.maximum(n0 - (1 - hit), 0), np.maximum(n1 - hit, 0)
+        for i, (table, at_) in enumerate(((code.counts, node), (model.counts[0], slot[0]), (model.counts[1], slot[1]))):
+            if not left_out:
+                entry = model.packed(code)[i].take(at_)
+                x[i] = (entry >> 2) * np.float32(1 / 800) - 10
+                if i:
+                    gate += (entry & 3).astype(np.int64) * SEEN ** (i - 1)
+                continue
+            n = pairs(table, at_)
+            n0, n1 = np.maximum(n.real - (1 - hit), 0), np.maximum(n.imag - hit, 0)
             x[i] = stretched(n0, n1)
             if i:
-                sights = n0 + n1
-                gate += sum((sights >= 4**step - 1).astype(np.int64) for step in range(1, SEEN)) * SEEN ** (i - 1)
+                gate += gate_step(n0 + n1) * SEEN ** (i - 1)
         mask, base = (room[doc] - 1), first[doc]
         alone = base + ((node.astype(np.int64) * 0x9E3779B1 >> 7) & mask)
         after = base + (slot[0] & mask)
@@ -544,6 +564,8 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     mixer = train_mixer(training, code, totals.n)
     known = np.append(code.seen > 0, False)
     base = np.append(np.log10((code.seen + 1) / (totals.n + totals.v + 1)), 0.0)
+    mixer.packed(code)
+    mixer.counts = np.zeros((2, 0, 2), np.float32)  # scoring reads the packed tables alone
     shared = docs.sparkSession.sparkContext.broadcast((code, mixer, known, base))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
