@@ -18,8 +18,10 @@ from .packing import tokenizer_path
 MARK = "▁"
 #: A character that no piece covers is spelled by bytes: each byte is a token of this score.
 BYTE_SCORE = -1e6
-#: Pre-tokens (and trie nodes, a few times as many) that a worker remembers.
-KNOWN_WORDS = 300_000
+#: Trie nodes that a worker remembers, about; a longer pre-token than LONG characters leaves none.
+KNOWN_NODES, LONG = 1_000_000, 4096
+#: Words whose terminals a worker remembers, about, and their bytes.
+KNOWN_WORDS, KNOWN_BYTES = 300_000, 32 << 20
 
 
 class Vocabulary:
@@ -35,10 +37,11 @@ class Vocabulary:
 
 
 class Trie:
-    """Pre-tokens by their characters. A node has its prefix's best score, the fewest tokens that reach it, and its path.
+    """Pre-tokens by their characters. A node has its prefix's best score and the fewest tokens that reach it.
 
     The best segmentation of a prefix does not depend on what follows, so each node is scored once, when the first
-    pre-token that passes it is inserted, from the scores of the nodes above it.
+    pre-token that passes it is inserted, from the scores of the nodes above it. Where a pre-token ends, its terminal
+    stores the score and the number of tokens; terminals are numbered as they are inserted.
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -46,38 +49,52 @@ class Trie:
         self.clear()
 
     def clear(self) -> None:
+        self.terminal_scores, self.terminal_counts = array("d"), array("l")
+        self.prune()
+
+    def prune(self) -> None:
+        """Forget the nodes, not the terminals."""
         #: The node below another by a character: keys are the node's number times 2**21 plus the code point.
         self.below: dict[int, int] = {}
         self.score, self.count = array("d", [0.0]), array("l", [0])
-        self.terminals: dict[int, int] = {}
 
-    def insert(self, token: str) -> tuple[float, int]:
-        """Score and number of tokens of the best segmentation; among equal scores, the fewest tokens."""
-        below, score, count, scores, longest = self.below, self.score, self.count, self.vocabulary.scores, self.vocabulary.longest
-        path, node = [0], 0
+    def extended(self, token: str, end: int, scores: list[float], counts: list[int]) -> tuple[float, int]:
+        """Score and tokens of the best segmentation of the first `end` characters, from those of all shorter prefixes."""
+        size = len(token[end - 1].encode("utf-8", "surrogatepass"))
+        best, fewest = scores[end - 1] + size * BYTE_SCORE, counts[end - 1] + size
+        for start in range(max(0, end - self.vocabulary.longest), end):
+            piece = self.vocabulary.scores.get(token[start:end])
+            if piece is not None:
+                piece += scores[start]
+                if piece > best or (piece == best and counts[start] + 1 < fewest):
+                    best, fewest = piece, counts[start] + 1
+        return best, fewest
+
+    def insert(self, token: str) -> int:
+        """The number of the token's terminal. Of segmentations of equal score the one of fewest tokens counts."""
+        if len(self.score) > KNOWN_NODES:
+            self.prune()
+        scores, counts, node, kept = [0.0], [0], 0, len(token) <= LONG
         for end, char in enumerate(token, 1):
             key = (node << 21) + ord(char)
-            node = below.get(key)
-            if node is None:
-                node = below[key] = len(score)
-                size = len(char.encode("utf-8", "surrogatepass"))
-                best, fewest = score[path[-1]] + size * BYTE_SCORE, count[path[-1]] + size
-                for start in range(max(0, end - longest), end):
-                    piece = scores.get(token[start:end])
-                    if piece is not None:
-                        at = path[start]
-                        piece += score[at]
-                        if piece > best or (piece == best and count[at] + 1 < fewest):
-                            best, fewest = piece, count[at] + 1
-                score.append(best)
-                count.append(fewest)
-            path.append(node)
-        self.terminals[node] = self.terminals.get(node, 0) + 1
-        return score[node], count[node]
+            known = self.below.get(key) if kept else None
+            if known is None:
+                best, fewest = self.extended(token, end, scores, counts)
+                if kept:
+                    node = self.below[key] = len(self.score)
+                    self.score.append(best)
+                    self.count.append(fewest)
+            else:
+                node, best, fewest = known, self.score[known], self.count[known]
+            scores.append(best)
+            counts.append(fewest)
+        self.terminal_scores.append(scores[-1])
+        self.terminal_counts.append(counts[-1])
+        return len(self.terminal_counts) - 1
 
 
 class WordCosts:
-    """Scores and token counts of words, remembered between batches of a worker."""
+    """Terminals of words, remembered between batches of a worker. Word number i of `words` has terminal i."""
 
     def __init__(self, path: str):
         self.trie = Trie(Vocabulary(path))
@@ -86,21 +103,20 @@ class WordCosts:
     def forget(self) -> None:
         self.trie.clear()
         self.words = pa.array([], pa.binary())
-        self.scores, self.counts = np.zeros(0), np.zeros(0, np.int64)
 
     def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.words) > KNOWN_WORDS:
+        """Scores and token counts of the words, read from their terminals."""
+        if len(self.words) > KNOWN_WORDS or self.words.nbytes > KNOWN_BYTES:
             self.forget()
         found = pc.index_in(words, value_set=self.words)
         if found.null_count:
             new = pc.unique(words.filter(pc.is_null(found)))
-            got = [self.trie.insert(MARK + w.decode("utf-8", "replace")) for w in new.to_pylist()]
-            self.scores = np.concatenate((self.scores, [g[0] for g in got]))
-            self.counts = np.concatenate((self.counts, [g[1] for g in got])).astype(np.int64)
+            for word in new.to_pylist():
+                self.trie.insert(MARK + word.decode("utf-8", "replace"))
             self.words = pa.concat_arrays([self.words, new])
             found = pc.index_in(words, value_set=self.words)
         codes = found.to_numpy()
-        return self.scores[codes], self.counts[codes]
+        return np.array(self.trie.terminal_scores)[codes], np.array(self.trie.terminal_counts)[codes]
 
 
 _costs: dict[str, WordCosts] = {}

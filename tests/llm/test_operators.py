@@ -498,6 +498,22 @@ def test_token_counts_against_plain_search(spark):
         assert out[i]["score"] == pytest.approx(sum(c[0] for c in costs))
 
 
+def test_terminals_do_not_depend_on_what_the_trie_remembers(monkeypatch):
+    vocabulary = token_counts.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    tokens = ["▁" + w for t in TEXTS.values() for w in words(t)][:3000] + ["▁" + "abcé" * 3000]
+
+    def terminals():
+        trie = token_counts.Trie(vocabulary)
+        numbers = [trie.insert(t) for t in tokens]
+        return [(trie.terminal_scores[i], trie.terminal_counts[i]) for i in numbers], len(trie.score)
+
+    whole, _ = terminals()
+    monkeypatch.setattr(token_counts, "KNOWN_NODES", 50)
+    monkeypatch.setattr(token_counts, "LONG", 100)
+    pruned, nodes = terminals()
+    assert pruned == whole and nodes <= 150
+
+
 # All
 
 
