@@ -58,6 +58,16 @@ def _digits(number: Column, n: int) -> Column:
     return F.lpad(number.cast("string"), n, "0")
 
 
+def _rounded(number: Column, places: int, size: Column | None = None) -> Column:
+    """A double rounded as the masks' SQL does it: scaled, then halves of the scaled double away from zero. Spark's round()
+    goes by the shortest decimal, which is a half where the scaled double is not. Where `size`, which bounds the number's,
+    is too large to scale, the number is whole."""
+    scale = F.lit(float(10**places))
+    if size is not None:
+        scale = F.when(F.abs(size) > 1.5e306, F.lit(1.0)).otherwise(scale)
+    return F.round(number * scale) / scale
+
+
 def generated(kind: str, text: Column, salt: str, name: str = "") -> Column:
     """A string of the given type for the canonical text. Unknown types are redacted."""
     s, s2 = seed(text, salt), seed(text, salt, "|2")
@@ -93,7 +103,7 @@ def generated(kind: str, text: Column, salt: str, name: str = "") -> Column:
         return F.concat(_digits(s, 9), _digits(s2 % 100_000, 5))
     if kind == "GEO":
         span = 360 if "lon" in name.lower() else 180
-        return F.round(s / F.lit(1e9) * span - span / 2, 4).cast("decimal(10,4)").cast("string")
+        return _rounded(s / F.lit(1e9) * span - span / 2, 4).cast("decimal(10,4)").cast("string")
     if kind == "URL":
         return F.concat(F.lit("https://example.org/"), s.cast("string"))
     if kind == "CREDENTIAL":
@@ -116,13 +126,13 @@ def perturbed(value: Column, kind: T.DataType, salt: str, share: float) -> Colum
         return F.when(value == 0, value).otherwise(out)
     if isinstance(kind, T.DecimalType):
         wide = T.DecimalType(min(38, max(kind.precision, kind.precision + 2 - kind.scale)), max(kind.scale, 2))
-        out = F.round(scaled(value.cast("double"), text, salt, share), 2).cast(wide)
+        out = _rounded(scaled(value.cast("double"), text, salt, share), 2, value.cast("double")).cast(wide)
         return F.when(value == 0, value.cast(wide)).otherwise(out)
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         odd = F.isnan(value) | (F.abs(value) == float("inf")) | (value == 0)
-        return F.when(odd, value).otherwise(F.round(scaled(value.cast("double"), text, salt, share), 2).cast(kind))
+        return F.when(odd, value).otherwise(_rounded(scaled(value.cast("double"), text, salt, share), 2, value.cast("double")).cast(kind))
     number = value.cast("string").try_cast("double")
-    out = F.round(scaled(number, value.cast("string"), salt, share), 2).cast("string")
+    out = _rounded(scaled(number, value.cast("string"), salt, share), 2, number).cast("string")
     return F.when(number == 0, value.cast("string")).otherwise(F.coalesce(out, F.lit(REDACTED)))
 
 

@@ -49,6 +49,17 @@ def test_guards(spark):
     assert masked(spark, ["x"], T.StringType(), "SAFE") == ["x"]
 
 
+def test_halves_are_rounded_as_in_the_sql(spark):
+    """Seeds that are 2,500 modulo 5,000 make halves of a fourth decimal, which the scaled double holds or misses."""
+    salt, names = "fixed-salt-for-tests", [f"Customer#{i:09d}" for i in range(40_000)]
+    seeds = [int(hashlib.sha256((n + salt).encode()).hexdigest(), 16) % 10**9 for n in names]
+    halves = [(n, s) for n, s in zip(names, seeds) if s % 5000 == 2500]
+    scaled = [(s / 1e9 * 180 - 90) * 1e4 for _, s in halves]
+    want = [f"{math.copysign(math.floor(abs(x) + 0.5), x) / 1e4:.4f}" for x in scaled]
+    assert "Customer#000012852" in [n for n, _ in halves] and masked(spark, [n for n, _ in halves], T.StringType(), "GEO", salt) == want
+    assert all(0.84e307 < float(x) < 1.16e307 for x in masked(spark, ["1e307", "1.01e307"], T.StringType(), "SALARY"))
+
+
 def test_noise_is_bounded_and_keeps_types(spark):
     values = list(range(1, 2000, 7))
     for kind, share in (("SALARY", 0.15), ("SCORE", 0.10)):
