@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from .config import Settings
 from .functions import values
 from .functions.mask import new_salt
-from .operators import documents, fixtures, gate, lineage
+from .operators import bands, documents, fixtures, gate, lineage
 from .operators.gate import Denied
 from .sources import catalog, readers
 from .sources.catalog import Catalog, collection_view
@@ -147,7 +147,7 @@ class Engine:
         kinds: list[str | None] = [lineage.resolve(sources, types, order, not nested(f.dataType)) for (_, sources), f in zip(found, raw.schema.fields)]
         spans = [(first, last) for text, first, last in sums if text == query]
         exact = self.analysed(lineage.exact_sums(query, spans)) if spans else raw
-        named = exact.toDF(*(f"c{i}" for i in range(len(raw.columns))))
+        named = bands.banded(exact).toDF(*(f"c{i}" for i in range(len(raw.columns))))
         if spans:
             named = named.select(*(F.col(f"c{i}").cast(f.dataType).alias(f"c{i}") for i, f in enumerate(raw.schema.fields)))
         open_ = [f"c{i}" for i, f in enumerate(raw.schema.fields) if kinds[i] is None and isinstance(f.dataType, T.StringType)]

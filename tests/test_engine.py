@@ -278,3 +278,28 @@ def test_rate_limit_stream_equals_batch(spark, tmp_path):
         time.sleep(0.5)
     query.stop()
     assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, spark.table("decisions").collect()))
+
+
+BANDS = [
+    "q.v <= p.v AND q.v > p.v - 3",
+    "q.v BETWEEN p.v - 2 AND p.v + 5",
+    "p.v + 1 > q.v AND p.v - 10 <= q.v AND q.n >= p.n - 1",
+    "q.n < p.v + 4 AND 2 + q.n > p.v",
+    "q.v >= p.v AND q.v <= p.v",
+]
+
+
+@pytest.mark.parametrize("where", (False, True))
+@pytest.mark.parametrize("band", BANDS)
+def test_band_joins_meet_by_equality(spark, band, where):
+    engine = Engine(spark, Settings(sensitivity={"public": ["*"]}, scan_values=False), salt="salt")
+    values = [None, -(1 << 63) + 20, (1 << 63) - 20, -9, -4, -3, -1, 0, 0, 1, 2, 3, 4, 7, 8, 9, 15, 16, 40]
+    for name, step in (("p", 1), ("q", -1)):
+        engine.register("d", name, spark.createDataFrame([(i, v, i % 5) for i, v in enumerate(values[::step])], "i long, v long, n int"))
+    got = engine.sql("d", f"SELECT p.i, q.i AS j FROM p, q WHERE {band}" if where else f"SELECT p.i, q.i AS j FROM p JOIN q ON {band}", limited=False).df
+    rows = [(i, v, i % 5) for i, v in enumerate(values)], [(i, v, i % 5) for i, v in enumerate(values[::-1])]
+    test = eval(f"lambda p, q: {band.replace('q.v BETWEEN p.v - 2 AND', 'p.v - 2 <= q.v <=').replace('AND', 'and').replace('.v', '[1]').replace('.n', '[2]')}")
+    known = lambda p, q: not ((p[1] is None) or (q[1] is None and "q.v" in band))
+    want = [(p[0], q[0]) for p in rows[0] for q in rows[1] if known(p, q) and test(p, q)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and "NestedLoop" not in plan and "Cartesian" not in plan
