@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,3 +92,29 @@ def idle_sessions(requests: DataFrame, client: str, at: str, minutes: int = 30)
 def masked_stream(df: DataFrame, types: dict[str, str], salt: str) -> DataFrame:
     """Masks are stateless expressions, so a stream is masked like a table."""
     return df.select(*(masked(F.col(f"`{f.name}`"), f.dataType, types.get(f.name), salt, f.name).alias(f.name) for f in df.schema.fields))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which driver and executors share; where none is set and Spark runs inside one process, a
+    temporary folder."""
+    context = spark.sparkContext
+    found = context._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get()
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+    context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def gathered(stream: DataFrame) -> DataFrame:
+    """All rows that a stream has now, from Parquet files in the shared folder: executors write them, and none pass
+    through the driver."""
+    spark = stream.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-progress").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)

@@ -303,3 +303,20 @@ def test_band_joins_meet_by_equality(spark, band, where):
     want = [(p[0], q[0]) for p in rows[0] for q in rows[1] if known(p, q) and test(p, q)]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, got.collect())) == sorted(want) and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_streams_are_gathered_in_files(spark, tmp_path):
+    path = str(tmp_path / "in")
+    schema = "event_id long, kind string"
+    spark.createDataFrame([(i, f"k{i}") for i in range(10)], schema).repartition(3).write.parquet(path)
+    out = limits.gathered(limits.masked_stream(spark.readStream.schema(schema).parquet(path), {"kind": "CREDENTIAL"}, "salt"))
+    assert sorted(r["event_id"] for r in out.collect()) == list(range(10)) and len(out.inputFiles()) >= 1
+    (tmp_path / "none").mkdir()
+    assert limits.gathered(spark.readStream.schema(schema).parquet(str(tmp_path / "none"))).columns == ["event_id", "kind"]
+
+
+def test_streamed_query_leaves_no_table_on_the_driver(spark):
+    from maskwell.plans import catalog_queries
+
+    first, second = (catalog_queries.queries()["stream_masked_events"](spark, "/root/testdata/sf0.001") for _ in range(2))
+    assert first.inputFiles() and first.count() == second.count() > 0
