@@ -39,6 +39,8 @@ COUNTED = 2_000_000
 LARGE, GROUP = 16, 4096
 #: Pivot steps at most; they end when few pairs are left, counted in rows of the groups.
 STEPS, FEW = 3, 8
+#: Groups of so many rows at most are dealt by their first class, so many of its n-grams together.
+SMALL, TOGETHER = 8, 512
 #: Of a component's blocks: classes in a block from the least to the most, blocks until the most, n-grams in a block.
 LEAST, MOST, BLOCKS, BLOCK_GRAMS = 64, 1024, 32, 1_000_000
 #: Columns of a dense matrix of n-grams.
@@ -293,14 +295,19 @@ def pivot_pairs(groups: DataFrame, step: int, percent: int) -> DataFrame:
 def cross_pairs(groups: DataFrame, percent: int) -> DataFrame:
     """All pairs of a group whose labels differ. Equal labels: known to be linked, so the pair adds nothing.
 
-    A large group is dealt to blocks by hash, and every two blocks are compared in a task of their own.
+    A large group is dealt to blocks by hash, and every two blocks are compared in a task of their own. Small groups with
+    the same first class stand together, so that a pair found by many n-grams is a row for each few hundred of them, and
+    not for each.
     """
     n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = groups.groupBy("gram").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
+    sizes = groups.groupBy("gram").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"), F.count("*").alias("rows"), F.min(F.struct("class", "matched")).alias("first"))
+    share = F.pmod("gram", F.ceil(F.col("first.matched") / TOGETHER).cast("long"))
+    home = F.when(F.col("rows") <= SMALL, F.xxhash64("first.class", share)).otherwise(F.xxhash64("gram"))
+    sizes = sizes.select("gram", "blocks", home.alias("home"))
     dealt = groups.join(sizes, "gram").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks").cast("long")).cast("int"))
     sent = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     key = ["gram", "low", "high"]
-    sent = sent.select("gram", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "class", "n", "position", "matched", "label")
+    sent = sent.select("home", "gram", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "class", "n", "position", "matched", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, key):
@@ -328,7 +335,7 @@ def cross_pairs(groups: DataFrame, percent: int) -> DataFrame:
             if found:
                 yield _pairs(found)
 
-    pairs = sent.repartition(n, *key).sortWithinPartitions(*key, "label", "class").mapInArrow(frugal(run), PAIR)
+    pairs = sent.repartition(n, "home", "low", "high").sortWithinPartitions("home", *key, "label", "class").mapInArrow(frugal(run), PAIR)
     return likely(pairs, percent)
 
 

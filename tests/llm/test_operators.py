@@ -247,6 +247,17 @@ def test_large_groups_of_near_copies_with_stragglers(spark):
         assert got[i]["n_links"] == sum(100 * len(sets[i] & s) >= 80 * len(sets[i] | s) for s in set(sets.values()) if s != sets[i])
 
 
+def test_pairs_of_small_groups_are_not_a_row_per_gram(spark, monkeypatch):
+    """40 pairs of classes that share 200 n-grams each: about a row per pair, whatever the tasks, and all n-grams counted."""
+    monkeypatch.setattr(jaccard_join, "likely", lambda pairs, percent: pairs)
+    groups = [(1000 * c + g, 2 * c + side, 1000, g, 200, 2 * c + side, 1) for c in range(40) for g in range(200) for side in (0, 1)]
+    found = jaccard_join.cross_pairs(spark.createDataFrame(groups, "gram long, class long, n long, position long, matched long, label long, k long"), 80).collect()
+    shared = collections.Counter()
+    for r in found:
+        shared[r["a"], r["b"]] += r["shared"]
+    assert shared == {(2 * c, 2 * c + 1): 200 for c in range(40)} and len(found) <= 40 + 2 * 4  # a batch may end in a pair
+
+
 # 4
 
 
