@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,8 +22,8 @@ GROUP_PIECES = 1024
 #: Longest remainder left whole; longer ones are halved, since near-equal windows need small pieces.
 LONGEST_REST = 2048
 END_ID = 2
-#: Words whose ids one worker remembers.
-KNOWN_WORDS = 1_500_000
+#: Words whose ids one worker remembers, and bytes of text that it encodes at a time: they bound its memory, beside which the JVM's is large.
+KNOWN_WORDS, ENCODED_BYTES = 200_000, 1 << 20
 
 # The rules of a tokenizer file under which lower-cased runs of letters are pre-tokens of their own.
 LOWERED = {
@@ -62,9 +63,24 @@ class WordIds:
         self.byte_chars = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.forget()
 
-    def forget(self) -> None:
-        self.words = pa.array([], pa.binary())
-        self.starts, self.counts, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    def forget(self, keep: np.ndarray | None = None) -> None:
+        """Forget all words but those to keep."""
+        if keep is None or not len(keep):
+            self.words = pa.array([], pa.binary())
+            self.starts, self.counts, self.again, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool), np.zeros(0, np.uint32)
+            return
+        counts = self.counts[keep]
+        self.pool = self.pool[self.places(keep)]
+        self.words, self.counts, self.again = self.words.take(pa.array(keep)), counts, np.zeros(len(keep), bool)
+        self.starts = np.cumsum(counts, dtype=np.int64) - counts
+
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        """Where the ids of these words are, in a row."""
+        counts = self.counts[codes]
+        ends = np.cumsum(counts, dtype=np.int64)
+        at = np.repeat(self.starts[codes] - (ends - counts), counts)
+        at += np.arange(len(at))
+        return at
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         out: list[list[int] | None] = []
@@ -92,24 +108,34 @@ class WordIds:
 
     def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and each word's number of ids."""
-        if len(self.words) > KNOWN_WORDS:
-            self.forget()
-        found = pc.index_in(words, value_set=self.words)
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        table = words.dictionary_encode()
+        found = pc.index_in(table.dictionary, value_set=self.words)
+        self.again[found.drop_null().to_numpy()] = True
         if found.null_count:
-            new = pc.unique(words.filter(pc.is_null(found)))
+            new = table.dictionary.filter(pc.is_null(found))
+            if len(self.words) + len(new) > KNOWN_WORDS:
+                # Words met again stay, if they leave room; a call's own words are always taken in.
+                keep = np.flatnonzero(self.again)
+                self.forget(keep if len(keep) + len(new) <= KNOWN_WORDS else None)
+                found = pc.index_in(table.dictionary, value_set=self.words)
+                new = table.dictionary.filter(pc.is_null(found))
             got = self.encode(new.to_pylist())
-            counts = np.fromiter(map(len, got), np.int64, len(got))
+            counts = np.fromiter(map(len, got), np.int32, len(got))
             pool = np.fromiter((t for ids in got for t in ids), np.uint32, int(counts.sum()))
-            self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(counts) - counts))
+            del got
+            self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(counts, dtype=np.int64) - counts))
             self.counts, self.pool = np.concatenate((self.counts, counts)), np.concatenate((self.pool, pool))
+            self.again = np.concatenate((self.again, np.zeros(len(new), bool)))
+            # The new words are the last ones, in their order.
+            codes = pc.fill_null(found, 0).to_numpy().copy()
+            codes[pc.is_null(found).to_numpy(zero_copy_only=False)] = np.arange(len(self.words), len(self.words) + len(new))
             self.words = pa.concat_arrays([self.words, new])
-            found = pc.index_in(words, value_set=self.words)
-        codes = found.to_numpy()
-        counts = self.counts[codes]
-        ends = np.cumsum(counts)
-        at = np.repeat(self.starts[codes] - (ends - counts), counts)
-        at += np.arange(len(at))
-        return self.pool[at], counts
+        else:
+            codes = found.to_numpy()
+        codes = codes[table.indices.to_numpy()]
+        return self.pool[self.places(codes)], self.counts[codes]
 
 
 _tokenizers: dict[str, WordIds] = {}
@@ -117,6 +143,8 @@ _tokenizers: dict[str, WordIds] = {}
 
 def word_ids(path: str) -> WordIds:
     if path not in _tokenizers:
+        # A worker has one core's work; a pool of threads would only hold memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _tokenizers[path] = WordIds(path)
     return _tokenizers[path]
 
@@ -148,7 +176,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_ids(tokenizer_path(tokenizer))
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=ENCODED_BYTES):
             words, per_doc = words_of(batch.column("text"))
             ids, per_word = coder.ids(words)
             ends = np.concatenate(([0], np.cumsum(per_word)))[np.cumsum(per_doc)]

@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -457,6 +458,20 @@ def test_shortcut_only_for_the_known_rules(tmp_path):
         packing.WordIds(str(tmp_path / "spaced.json"))
 
 
+def test_packing_worker_remembers_few_words(monkeypatch):
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 100)
+    coder = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    for call in range(8):
+        texts = ["the", "Weiß,", "x-1", *(f"w{call}q{i}" for i in range(60)), "the", "", "日本"]
+        ids, counts = coder.ids(pa.array([t.encode() for t in texts], pa.binary()))
+        assert len(coder.words) <= 100
+        want = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert b"the" in coder.words.to_pylist()
+    ids, counts = coder.ids(pa.array([], pa.binary()))
+    assert not len(ids) and not len(counts)
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
