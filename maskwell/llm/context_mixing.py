@@ -38,19 +38,33 @@ SEEN, BINS = 4, 24
 HEAD, HEAD_BYTES = 150_000, 256
 #: Words that a training task learns from, about, and symbols that go through the mixer together.
 TASK_WORDS, STEP = 300_000, 2048
-FLAT = 1 << 18
+FLAT = 1 << 15
 #: Slots of a table of word contexts (log2), and of a document's own tables, at most (log2).
 CONTEXT_BITS, OWN_BITS = 20, 16
 #: Words of a document between two updates, at first and after so many words; and bits of training text.
 BLOCK, LONG_BLOCK, LONG_AFTER, FIT_BITS = 32, 256, 512, 16_384
-#: Bytes of text that are scored side by side, and words that are counted at once.
-CHUNK, COUNTED = 2 << 20, 1 << 14
+#: Bytes of text that are coded at once, words, about, of texts that are mixed side by side, and that are counted at once.
+CHUNK, ABREAST, COUNTED = 2 << 20, 80_000, 1 << 16
+#: Words of a block that go through the mixer together, about: what they need stays in the processor's cache.
+SLICE = 2048
 #: Tokens of training text, about, for which a task sends one table of counts.
 TABLE_TOKENS = 10_000_000
 #: Predictors, weight sets and rate of the mixer over running text.
 INPUTS, GATES, RATE = 5, SEEN * SEEN, 0.02
 
 
+def look(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """table[at] of places that are all in the table: wrapping is the mode that numpy does fastest."""
+    return table.take(at, mode="wrap")
+
+
+def added_up(at: np.ndarray, values: np.ndarray | float, size: int) -> np.ndarray:
+    """As bincount, in single precision: several times as fast."""
+    out = np.zeros(size, np.float32)
+    np.add.at(out, at, values if isinstance(values, np.ndarray) else np.float32(values))
+    return out
+
+
 @dataclass
 class Speller:
     """Bit predictors and mixer. counts: (orders, slots, 2)."""
@@ -58,6 +72,20 @@ class Speller:
     counts: np.ndarray
     weights: np.ndarray = field(default_factory=lambda: np.full((8 * SEEN, len(ORDERS)), 0.3, np.float64))
     refined: np.ndarray = field(default_factory=lambda: np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, BINS))), (8, 1)))
+    tables: list[np.ndarray] | None = None
+    seen_less: list[np.ndarray] | None = None
+
+    def left_out(self) -> list[np.ndarray]:
+        """The tables as learning reads them: `counts` must not change any more."""
+        if self.seen_less is None:
+            self.seen_less = [less_packed(t) for t in self.counts]
+        return self.seen_less
+
+    def packed(self) -> list[np.ndarray]:
+        """The tables as scoring reads them."""
+        if self.tables is None:
+            self.tables = [packed(t) for t in self.counts]
+        return self.tables
 
 
 def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,52 +117,55 @@ def bit_at(symbols: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray]:
     return ((symbols >> np.uint64(7 - place)) & np.uint64(1)).astype(np.int64), (symbols >> np.uint64(8 - place)) | np.uint64(1 << place)
 
 
-def inputs(model: Speller, contexts: np.ndarray, node: np.ndarray, bit: np.ndarray | None, place: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stretched predictions of all orders, and the gate. With `bit`, each prediction leaves out one sight of it."""
-    x, gate = np.empty((len(node), len(ORDERS))), None
-    for i in range(len(ORDERS)):
+def inputs(tables: list[np.ndarray], contexts: np.ndarray, node: np.ndarray, bit: np.ndarray | None, place: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stretched predictions of all orders, a row for each, and the gate. With `bit`, the tables leave out one sight of it."""
+    x, gate = np.empty((len(ORDERS), len(node)), np.float32), None
+    for i, table in enumerate(tables):
         at = slots(contexts[i], node)
-        n0, n1 = model.counts[i, at, 0].astype(np.float64), model.counts[i, at, 1].astype(np.float64)
-        if bit is not None:
-            n1, n0 = np.maximum(n1 - bit, 0), np.maximum(n0 - (1 - bit), 0)
-        x[:, i] = np.log((n1 + 0.2) / (n0 + 0.2))
-        gate = n0 + n1
-    seen = np.minimum(SEEN - 1, np.log2(gate + 1).astype(np.int64) // 2)
-    return np.clip(x, -10, 10), place * SEEN + seen
+        entry = look(table, at if bit is None else 2 * at + bit)
+        x[i] = unpacked(entry)
+        gate = entry & 3
+    return x, place * SEEN + gate.astype(np.int64)
 
 
 def refine(model: Speller, z: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The mixer's probability, and that of the refinement table between its two nearest bins."""
-    z = np.clip(z, -7.99, 7.99)
-    spot = (z + 8) / 16 * (BINS - 1)
-    low = spot.astype(np.int64)
-    part = spot - low
-    table = model.refined[place]
-    return 1 / (1 + np.exp(-z)), table[low] * (1 - part) + table[low + 1] * part, low, part
+    z = np.minimum(np.maximum(z, np.float32(-7.99)), np.float32(7.99))
+    spot = (z + 8) * np.float32((BINS - 1) / 16)
+    floor = np.floor(spot)
+    low, part = floor.astype(np.int64), spot - floor
+    table = model.refined[place].astype(np.float32)
+    return 1 / (1 + np.exp(-z)), look(table, low) * (1 - part) + look(table, low + 1) * part, low, part
+
+
+def weighed(model: Speller, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    return sum(x[i] * look(np.ascontiguousarray(model.weights[:, i], np.float32), gate) for i in range(len(ORDERS)))
 
 
 def learn(model: Speller, words: list[bytes], rate: float = 0.02) -> None:
     """One online pass over the words: the mixer's weights and the refinement table follow each small batch."""
+    tables = model.left_out()
     for at in range(0, len(words), STEP):
         symbols, contexts, _ = spelled(words[at : at + STEP])
         for place in range(8):
             bit, node = bit_at(symbols, place)
-            x, gate = inputs(model, contexts, node, bit, place)
-            z = np.einsum("ij,ij->i", x, model.weights[gate])
+            x, gate = inputs(tables, contexts, node, bit, place)
+            z = weighed(model, x, gate)
             p, _, low, part = refine(model, z, place)
-            gradient = x * (bit - p)[:, None]
-            sums, n = np.zeros_like(model.weights), np.bincount(gate, minlength=len(model.weights))
-            np.add.at(sums, gate, gradient)
-            model.weights += rate * sums / np.sqrt(np.maximum(n, 1))[:, None]
+            hit = bit.astype(np.float32)
+            error, sets = hit - p, len(model.weights)
+            scale = rate / np.sqrt(np.maximum(added_up(gate, 1, sets), 1))
+            for i in range(len(ORDERS)):
+                model.weights[:, i] += scale * added_up(gate, x[i] * error, sets)
             near = low + (part > 0.5)
-            hits, ones = np.bincount(near, minlength=BINS), np.bincount(near, bit, minlength=BINS)
+            hits, ones = added_up(near, 1, BINS), added_up(near, hit, BINS)
             share = np.minimum(0.5, hits / (hits + 400.0))
             model.refined[place] += share * (np.divide(ones, hits, out=model.refined[place].copy(), where=hits > 0) - model.refined[place])
 
 
 def log_probabilities(model: Speller, words: list[bytes]) -> np.ndarray:
     """log10 of each word's spelled probability."""
-    out, at = np.empty(len(words)), 0
+    out, at, tables = np.empty(len(words)), 0, model.packed()
     while at < len(words):
         stop, size = at, 0
         while stop < len(words) and (stop == at or size < FLAT):
@@ -144,8 +175,8 @@ def log_probabilities(model: Speller, words: list[bytes]) -> np.ndarray:
         total = np.zeros(len(symbols))
         for place in range(8):
             bit, node = bit_at(symbols, place)
-            x, gate = inputs(model, contexts, node, None, place)
-            p, q, _, _ = refine(model, np.einsum("ij,ij->i", x, model.weights[gate]), place)
+            x, gate = inputs(tables, contexts, node, None, place)
+            p, q, _, _ = refine(model, weighed(model, x, gate), place)
             p = np.clip((p + q) / 2, 1e-5, 1 - 1e-5)
             total += np.log10(np.where(bit == 1, p, 1 - p))
         out[at:stop] = np.diff(np.concatenate(([0], np.cumsum(total)[ends - 1])))
@@ -206,6 +237,14 @@ class Mixer:
     weights: np.ndarray = field(default_factory=lambda: np.full((INPUTS, GATES), 0.3, np.float32))
     refined: np.ndarray = field(default_factory=lambda: (1 / (1 + np.exp(-np.linspace(-8, 8, BINS)))).astype(np.float32))
     tables: list[np.ndarray] | None = None
+    #: As `tables`, for training: two entries a slot, which leave out one sight of a zero and of a one.
+    seen_less: list[np.ndarray] | None = None
+
+    def left_out(self, code: Code) -> list[np.ndarray]:
+        """The tables of orders 0 to 2 as fitting reads them: `counts` must not change any more."""
+        if self.seen_less is None:
+            self.seen_less = [less_packed(t) for t in (code.counts, *self.counts)]
+        return self.seen_less
 
     def packed(self, code: Code) -> list[np.ndarray]:
         """The tables of orders 0 to 2 as scoring reads them: `counts` must not change any more."""
@@ -228,25 +267,45 @@ def word_contexts(codes: np.ndarray, per_doc: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Spreads the hash of a context and a node over its table.
+SPREAD = np.uint64(0xD6E8FEB86659FD93)
+
+
+def spread_slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Slots of contexts and nodes, both multiplied by SPREAD before."""
+    return ((context + node) >> np.uint64(64 - CONTEXT_BITS)).view(np.int64)
+
+
 def context_slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return (((context + node.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64)
+    return spread_slots(context * SPREAD, node.astype(np.uint64) * SPREAD)
+
+
+def abreast(codes: np.ndarray, per_doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes and lengths of about ABREAST words of texts at a time, one text at least."""
+    ends, low = np.cumsum(per_doc), 0
+    while low < len(ends):
+        done = int(ends[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, done + ABREAST, "right")))
+        yield codes[done : int(ends[high - 1])], per_doc[low:high]
+        low = high
 
 
 def bits_of(code: Code, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The word, node and bit of each choice that the words take."""
-    size = code.size[codes]
+    size = look(code.size, codes)
     word = np.repeat(np.arange(len(codes)), size)
-    at = np.arange(len(word)) + np.repeat(code.start[codes] - (np.cumsum(size) - size), size)
-    return word, code.nodes[at], code.bits[at]
+    at = np.repeat(look(code.start, codes) - (np.cumsum(size) - size), size)
+    at += np.arange(len(at))
+    return word, look(code.nodes, at), look(code.bits, at)
 
 
 def pairs(counts: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Both counts of each entry in one look-up, as a complex number's parts."""
-    return counts.reshape(-1).view(np.complex64).take(at)
+    return counts.reshape(-1).view(np.complex64).take(at, mode="wrap")
 
 
 def gate_step(sights: np.ndarray) -> np.ndarray:
-    return sum((sights >= 4**step - 1).astype(np.int64) for step in range(1, SEEN))
+    return sum((sights >= 4**step - 1).astype(np.int8) for step in range(1, SEEN)).astype(np.int64)
 
 
 def packed(counts: np.ndarray) -> np.ndarray:
@@ -254,89 +313,125 @@ def packed(counts: np.ndarray) -> np.ndarray:
     return (np.rint((stretched(counts[:, 0], counts[:, 1]) + 10) * 800).astype(np.uint16) << 2) | gate_step(counts.sum(1)).astype(np.uint16)
 
 
+def less_packed(counts: np.ndarray) -> np.ndarray:
+    """As packed, two entries a slot: without one sight of a zero, without one of a one."""
+    return np.stack([packed(np.maximum(counts - one, 0)) for one in np.eye(2, dtype=np.float32)], 1).reshape(-1)
+
+
+def unpacked(entry: np.ndarray) -> np.ndarray:
+    return (entry >> 2) * np.float32(1 / 800) - np.float32(10)
+
+
 def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.clip(np.log((n1 + np.float32(0.2)) / (n0 + np.float32(0.2))), -10, 10)
 
 
 def blocks(model: Mixer, code: Code, codes: np.ndarray, per_doc: np.ndarray, left_out: bool) -> Iterator[tuple]:
-    """Blocks of all documents side by side, the first of each, then the second...: (document, x, gate, bit) per choice.
+    """Blocks of all documents side by side, the first of each, then the second..., about SLICE words at a time: (first
+    document, one after the last, document, where each document's choices start, x, gate, bit), the latter three and document per choice.
 
     Documents come longest first, so those that still have words are the first ones; `document` is the place in that order,
     and `order` (in the first item, alone) says which that is. Counts of a document's own are those of its blocks before.
     With `left_out`, training counts leave out one sight of the choice itself."""
     order = np.argsort(-per_doc, kind="stable")
     length, begin = per_doc[order], (np.cumsum(per_doc) - per_doc)[order]
-    contexts = word_contexts(codes, per_doc)
+    contexts = word_contexts(codes, per_doc) * SPREAD
     bits = np.add.reduceat(np.append(code.size[codes], 0), np.cumsum(per_doc) - per_doc)[order] if len(codes) else np.zeros(0, np.int64)
     room = 1 << np.minimum(OWN_BITS, np.log2(np.maximum(bits, 2)).astype(np.int64))
-    first, own = np.cumsum(room) - room, np.zeros((2, int(room.sum()), 2), np.float32)
+    # Own counts start at the fifth that stretching adds to each.
+    first, own = np.cumsum(room) - room, np.full((2, int(room.sum()), 2), 0.2, np.float32)
+    tables = model.left_out(code) if left_out else model.packed(code)
     yield order
     longest = int(length[0]) if len(length) else 0
     for at in [*range(0, min(longest, LONG_AFTER), BLOCK), *range(LONG_AFTER, longest, LONG_BLOCK)]:
         most = BLOCK if at < LONG_AFTER else LONG_BLOCK
         active = int(np.searchsorted(-length, -at, "left"))
-        size = np.minimum(most, length[:active] - at)
-        doc_of_word = np.repeat(np.arange(active), size)
-        words = np.arange(len(doc_of_word)) + np.repeat(begin[:active] + at - (np.cumsum(size) - size), size)
-        word, node, bit = bits_of(code, codes[words])
-        doc, hit = doc_of_word[word], bit.astype(np.float32)
-        x, gate = np.empty((INPUTS, len(node)), np.float32), np.zeros(len(node), np.int64)
-        slot = [context_slots(c.take(words).take(word), node) for c in contexts]
-        for i, (table, at_) in enumerate(((code.counts, node), (model.counts[0], slot[0]), (model.counts[1], slot[1]))):
-            if not left_out:
-                entry = model.packed(code)[i].take(at_)
-                x[i] = (entry >> 2) * np.float32(1 / 800) - 10
+        sizes = np.minimum(most, length[:active] - at)
+        upto, low = np.cumsum(sizes), 0
+        while low < active:
+            done = int(upto[low - 1]) if low else 0
+            high = max(low + 1, int(np.searchsorted(upto, done + SLICE, "right")))
+            size = sizes[low:high]
+            words = np.arange(int(upto[high - 1]) - done) + np.repeat(begin[low:high] + at - (upto[low:high] - size - done), size)
+            word, node, bit = bits_of(code, look(codes, words))
+            doc = look(np.repeat(np.arange(low, high), size), word)
+            wide = node.astype(np.int64)
+            spread = wide.view(np.uint64) * SPREAD
+            x = np.empty((INPUTS, len(node)), np.float32)
+            slot = [spread_slots(look(look(c, words), word), spread) for c in contexts]
+            gate = None
+            for i, (table, spot) in enumerate(zip(tables, (wide, *slot))):
+                entry = look(table, 2 * spot + bit if left_out else spot)
+                x[i] = unpacked(entry)
                 if i:
-                    gate += (entry & 3).astype(np.int64) * SEEN ** (i - 1)
-                continue
-            n = pairs(table, at_)
-            n0, n1 = np.maximum(n.real - (1 - hit), 0), np.maximum(n.imag - hit, 0)
-            x[i] = stretched(n0, n1)
-            if i:
-                gate += gate_step(n0 + n1) * SEEN ** (i - 1)
-        mask, base = (room[doc] - 1), first[doc]
-        alone = base + ((node.astype(np.int64) * 0x9E3779B1 >> 7) & mask)
-        after = base + (slot[0] & mask)
-        for i, spot in enumerate((alone, after)):
-            n = pairs(own[i], spot)
-            x[3 + i] = stretched(n.real, n.imag)
-        yield doc, x, gate, bit
-        for i, spot in enumerate((alone, after)):
-            np.add.at(own[i].reshape(-1), spot * 2 + bit, np.float32(1))
-
-
-def mixed(x: np.ndarray, at: np.ndarray, doc: np.ndarray, bit: np.ndarray, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
-    """Probability of each choice that was taken; then weights (predictor, set) and refinement (document, bin) follow, in place."""
-    z = np.zeros(len(at), np.float32)
+                    step = entry & 3
+                    gate = step if gate is None else gate + step * np.uint16(SEEN ** (i - 1))
+            mask, base = look(room - 1, doc), look(first, doc)
+            wide *= 0x9E3779B1
+            wide >>= 7
+            alone = base + (wide & mask)
+            after = base + (slot[0] & mask)
+            for i, spot in enumerate((alone, after)):
+                n = pairs(own[i], spot)
+                row = np.divide(n.imag, n.real, out=x[3 + i])
+                np.log(row, out=row)
+                np.minimum(np.maximum(row, -10, out=row), 10, out=row)
+            yield low, high, doc, np.searchsorted(doc, np.arange(low, high)), x, gate, bit
+            for i, spot in enumerate((alone, after)):
+                np.add.at(own[i].reshape(-1), spot * 2 + bit, np.float32(1))
+            low = high
+
+
+def mixed(x: np.ndarray, at: np.ndarray, doc: np.ndarray | None, bit: np.ndarray, weights: np.ndarray, refined: np.ndarray, wanted: bool = True) -> np.ndarray | None:
+    """Probability of each choice that was taken, if wanted; then weights (predictor, set) and refinement (document, bin)
+    follow, in place. Without `doc` there is one document."""
+    z = x[0] * look(weights[0], at)
+    for i in range(1, INPUTS):
+        z += x[i] * look(weights[i], at)
+    np.minimum(np.maximum(z, np.float32(-7.99), out=z), np.float32(7.99), out=z)
+    p = np.exp(-z)
+    p += 1
+    np.reciprocal(p, out=p)
+    z += 8
+    z *= np.float32((BINS - 1) / 16)
+    floor = np.floor(z)
+    part = z - floor
+    bins = floor.astype(np.int64)
+    flat = refined.reshape(-1)
+    if doc is not None:
+        bins += doc * BINS
+    hit = bit.astype(np.float32)
+    error, sets = hit - p, weights.shape[1]
+    out = None
+    if wanted:
+        q = look(flat, bins)
+        p += q + part * (look(flat, bins + 1) - q)
+        p *= np.float32(0.5)
+        np.minimum(np.maximum(p, np.float32(1e-5), out=p), np.float32(1 - 1e-5), out=p)
+        p += hit
+        p -= 1
+        out = np.abs(p, out=p)
+    scale = RATE / np.sqrt(np.maximum(added_up(at, 1, sets), 1))
     for i in range(INPUTS):
-        z += x[i] * weights[i][at]
-    z = np.clip(z, -7.99, 7.99)
-    p = 1 / (1 + np.exp(-z))
-    spot = (z + 8) * np.float32((BINS - 1) / 16)
-    low = spot.astype(np.int64)
-    part = spot - low
-    flat, bins = refined.reshape(-1), doc * BINS + low
-    q = flat[bins] * (1 - part) + flat[bins + 1] * part
-    error, sets = bit - p, weights.shape[1]
-    scale = RATE / np.sqrt(np.maximum(np.bincount(at, minlength=sets), 1))
-    for i in range(INPUTS):
-        weights[i] += scale * np.bincount(at, x[i] * error, minlength=sets)
-    near = bins + (part > 0.5)
-    hits, ones = np.bincount(near, minlength=len(flat)), np.bincount(near, bit, minlength=len(flat))
+        weights[i] += scale * added_up(at, x[i] * error, sets)
+    bins += part > 0.5
+    bins *= 2
+    bins += bit
+    counts = added_up(bins, 1, 2 * len(flat)).reshape(-1, 2)
+    hits, ones = counts.sum(1), counts[:, 1]
     flat += (ones - hits * flat) * np.minimum(0.5 / np.maximum(hits, 1), 1 / (hits + 400.0))
-    p = np.clip((p + q) / 2, 1e-5, 1 - 1e-5)
-    return np.where(bit == 1, p, 1 - p)
+    return out
 
 
 def fit(model: Mixer, code: Code, codes: np.ndarray, per_doc: np.ndarray) -> int:
-    """The model's weights and refinement follow training documents, FIT_BITS choices at a time; the number of choices."""
+    """The model's weights and refinement follow training documents, FIT_BITS choices at a time at most; the number of choices."""
     each, n = blocks(model, code, codes, per_doc, left_out=True), 0
     next(each)
     refined = model.refined.reshape(1, -1)
-    for _, x, gate, bit in each:
-        for a in range(0, len(bit), FIT_BITS):
-            part = slice(a, a + FIT_BITS)
-            mixed(x[:, part], gate[part], np.zeros(len(bit[part]), np.int64), bit[part], model.weights, refined)
+    for _, _, _, _, x, gate, bit in each:
+        parts = -(-len(bit) // FIT_BITS)
+        for a, b in zip(len(bit) * np.arange(parts) // parts, len(bit) * np.arange(1, parts + 1) // parts):
+            mixed(x[:, a:b], gate[a:b].astype(np.int64), None, bit[a:b], model.weights, refined, wanted=False)
         n += len(bit)
     return n
 
@@ -346,10 +441,13 @@ def text_scores(model: Mixer, code: Code, codes: np.ndarray, per_doc: np.ndarray
     each = blocks(model, code, codes, per_doc, left_out=False)
     order, out = next(each), np.zeros(len(per_doc))
     weights, refined = np.tile(model.weights, len(per_doc)), np.tile(model.refined, (len(per_doc), 1))
-    for doc, x, gate, bit in each:
-        active = int(doc[-1]) + 1
-        p = mixed(x, doc * GATES + gate, doc, bit, weights[:, : active * GATES], refined[:active])
-        out[:active] += np.bincount(doc, np.log10(p), minlength=active)
+    for low, high, doc, starts, x, gate, bit in each:
+        doc -= low
+        sets = doc * GATES
+        sets += gate
+        p = mixed(x, sets, doc, bit, weights[:, low * GATES : high * GATES], refined[low:high])
+        if len(p):
+            out[low:high] += np.add.reduceat(np.log10(p), starts, dtype=np.float64)
     total = np.empty(len(per_doc))
     total[order] = out
     return total
@@ -421,22 +519,23 @@ def train_mixer(training: DataFrame, code: Code, tokens: int) -> Mixer:
         counts, values = np.zeros(shape, np.uint32), pa.array(code.words, pa.binary())
         for batch in chunks(batches):
             codes, per_doc, _, _ = coded(_texts(batch), code, values)
-            contexts = word_contexts(codes, per_doc)
+            contexts = word_contexts(codes, per_doc) * SPREAD
             for at in range(0, len(codes), COUNTED):
                 word, node, bit = bits_of(code, codes[at : at + COUNTED])
+                spread = node.astype(np.uint64) * SPREAD
                 for i in (0, 1):
-                    np.add.at(counts[i].reshape(-1), context_slots(contexts[i][at : at + COUNTED][word], node) * 2 + bit, np.uint32(1))
+                    np.add.at(counts[i].reshape(-1), spread_slots(look(contexts[i][at : at + COUNTED], word), spread) * 2 + bit, np.uint32(1))
         yield pieces(counts, cut)
 
     model = Mixer(summed_tables(few.mapInArrow(frugal(count), "part long, own binary"), shape, cut))
-    tables = context.broadcast(model.counts)
+    tables = context.broadcast(model.left_out(code))
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n, code = Mixer(tables.value), 0, shared.value
+        own, n, code = Mixer(np.zeros((2, 0, 2), np.float32), seen_less=tables.value), 0, shared.value
         values = pa.array(code.words, pa.binary())
         for batch in chunks(batches, limit=CHUNK):
             codes, per_doc, _, _ = coded(_texts(batch), code, values)
-            n += fit(own, code, codes, per_doc)
+            n += sum(fit(own, code, *part) for part in abreast(codes, per_doc))
         sums = [(n * a.astype(np.float64)).tobytes() for a in (own.weights, own.refined)]
         yield pa.RecordBatch.from_arrays([pa.array([n]), *(pa.array([s], pa.binary()) for s in sums)], names=["n", "weights", "refined"])
 
@@ -458,7 +557,9 @@ def train_mixer(training: DataFrame, code: Code, tokens: int) -> Mixer:
 
 def train_speller(words: DataFrame, n_words: int) -> Speller:
     """Tables summed over all training words; then weights and refinement averaged over tasks that each learn online."""
-    vocabulary = words.select("word").repartition(max(1, n_words // TASK_WORDS), "word")
+    few = max(1, n_words // TASK_WORDS)
+    # However many partitions the shuffle has, no more tasks: each sends its own tables.
+    vocabulary = words.select("word").repartition(few, "word").coalesce(few)
     shape, cut = (len(ORDERS), 1 << TABLE_BITS, 2), 1 << 12
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -472,10 +573,10 @@ def train_speller(words: DataFrame, n_words: int) -> Speller:
         yield pieces(counts, cut)
 
     model = Speller(summed_tables(vocabulary.mapInArrow(count, "part long, own binary"), shape, cut))
-    shared = words.sparkSession.sparkContext.broadcast(model.counts)
+    shared = words.sparkSession.sparkContext.broadcast(model.left_out())
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = Speller(shared.value), 0
+        own, n = Speller(np.zeros((0, 0, 2), np.float32), seen_less=shared.value), 0
         for batch in batches:
             learn(own, batch.column(0).to_pylist())
             n += batch.num_rows
@@ -533,6 +634,8 @@ def code_of(words: DataFrame) -> tuple[Code, Totals, DataFrame]:
 
 def with_spelling(words: DataFrame, speller: Speller) -> DataFrame:
     """The same rows and `lp`, log10 of the word's spelled probability."""
+    speller.packed()
+    speller.counts, speller.seen_less = np.zeros((0, 0, 2), np.float32), None  # scoring reads the packed tables alone
     shared = words.sparkSession.sparkContext.broadcast(speller)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -565,7 +668,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     known = np.append(code.seen > 0, False)
     base = np.append(np.log10((code.seen + 1) / (totals.n + totals.v + 1)), 0.0)
     mixer.packed(code)
-    mixer.counts = np.zeros((2, 0, 2), np.float32)  # scoring reads the packed tables alone
+    mixer.counts, mixer.seen_less = np.zeros((2, 0, 2), np.float32), None  # scoring reads the packed tables alone
     shared = docs.sparkSession.sparkContext.broadcast((code, mixer, known, base))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -583,7 +686,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
             items = pa.StructArray.from_arrays([table.dictionary.take(pa.array(word)), pa.array(n.astype(np.int64))], names=["word", "n"])
             sums = lambda v: np.bincount(of_token, v, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(number + np.arange(batch.num_rows)), batch.column("doc_id"), batch.column("held_out"), pa.array(per_doc), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(sums(known[codes]).astype(np.int64)), pa.array(sums(base[codes])), pa.array(text_scores(mixer, code, codes, per_doc)), pa.ListArray.from_arrays(pa.array(lists), items)],
+                [pa.array(number + np.arange(batch.num_rows)), batch.column("doc_id"), batch.column("held_out"), pa.array(per_doc), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(sums(known[codes]).astype(np.int64)), pa.array(sums(base[codes])), pa.array(np.concatenate([text_scores(mixer, code, *part) for part in abreast(codes, per_doc)])), pa.ListArray.from_arrays(pa.array(lists), items)],
                 names=["row", "doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base_score", "coded", "rare"],
             )
             number += batch.num_rows

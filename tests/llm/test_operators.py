@@ -132,6 +132,38 @@ def test_mixing_equals_a_plain_loop():
     assert np.allclose(got_r, refined, atol=1e-5)
 
 
+def test_texts_score_the_same_whatever_is_mixed_with_them(monkeypatch):
+    code = context_mixing.huffman([b"a", b"b", b"", b"c"], [50, 20, 3, 1], 0)
+    r = random.Random(5)
+    codes, per_doc = coded_words(code, [[r.choice([b"a", b"b", b"c"]) for _ in range(n)] for n in (700, 3, 0, 90, 90, 1200)])
+    model = context_mixing.Mixer(np.zeros((2, 1 << context_mixing.CONTEXT_BITS, 2), np.float32))
+    whole = context_mixing.text_scores(model, code, codes, per_doc)
+    monkeypatch.setattr(context_mixing, "SLICE", 1)
+    monkeypatch.setattr(context_mixing, "ABREAST", 100)
+    parts = list(context_mixing.abreast(codes, per_doc))
+    assert len(parts) > 2 and sum(len(c) for c, _ in parts) == len(codes)
+    assert np.concatenate([context_mixing.text_scores(model, code, *p) for p in parts]) == pytest.approx(whole, rel=1e-4)
+
+
+def test_packed_tables_leave_out_one_sight():
+    counts = np.array([[0, 0], [1, 0], [3, 70], [400, 2], [1e6, 0]], np.float32)
+    less = context_mixing.less_packed(counts).reshape(-1, 2)
+    for bit in (0, 1):
+        left = np.maximum(counts - np.eye(2, dtype=np.float32)[bit], 0)
+        assert context_mixing.unpacked(less[:, bit]) == pytest.approx(context_mixing.stretched(left[:, 0], left[:, 1]), abs=1 / 1000)
+        assert (less[:, bit] & 3).tolist() == context_mixing.gate_step(left.sum(1)).tolist()
+
+
+def test_speller_tables_come_from_few_tasks(spark, monkeypatch):
+    words = spark.createDataFrame([(f"w{i}".encode(), 1) for i in range(300)], "word binary, count long")
+    kind, seen, summed = type(words), [], context_mixing.summed_tables
+    plain = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, n, *by: plain(self, max(n, 21), *by))
+    monkeypatch.setattr(context_mixing, "summed_tables", lambda rows, *more: seen.append(rows.rdd.getNumPartitions()) or summed(rows, *more))
+    context_mixing.train_speller(words, 300)
+    assert seen == [1]
+
+
 # 2
 
 
