@@ -12,6 +12,9 @@ After an escape the word itself is spelled: a mixture, normalised over all words
 such words and its probability byte by byte. That spelling is another mixer of the same kind, whose contexts are the last
 bytes of the word, trained on the vocabulary.
 
+The three loops over running text, which count, fit and score, run in the JVM (`kernel`). Their numpy versions here say what
+they do, and do it where Spark has no compiler.
+
 Scores do not depend on partitioning but for the averaging of fitted weights over training tasks.
 """
 
@@ -24,10 +27,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.java_gateway import JavaObject
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernel
 from .common import chunks, frugal, hashed_to, words_of, written
 
 #: Bytes of context of each predictor, and the slots of its table (log2).
@@ -51,6 +56,10 @@ SLICE = 2048
 TABLE_TOKENS = 10_000_000
 #: Predictors, weight sets and rate of the mixer over running text.
 INPUTS, GATES, RATE = 5, SEEN * SEEN, 0.02
+#: Spreads the hash of a context and a node over its table.
+SPREAD = np.uint64(0xD6E8FEB86659FD93)
+#: Numbers of a table of word contexts that are sent as one piece.
+CUT = 1 << 12
 
 
 def look(table: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -267,10 +276,6 @@ def word_contexts(codes: np.ndarray, per_doc: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Spreads the hash of a context and a node over its table.
-SPREAD = np.uint64(0xD6E8FEB86659FD93)
-
-
 def spread_slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
     """Slots of contexts and nodes, both multiplied by SPREAD before."""
     return ((context + node) >> np.uint64(64 - CONTEXT_BITS)).view(np.int64)
@@ -453,6 +458,19 @@ def text_scores(model: Mixer, code: Code, codes: np.ndarray, per_doc: np.ndarray
     return total
 
 
+def loops(spark: SparkSession) -> JavaObject | None:
+    own = {k: globals()[k] for k in ("INPUTS", "GATES", "SEEN", "BINS", "RATE", "CONTEXT_BITS", "OWN_BITS", "BLOCK", "LONG_BLOCK", "LONG_AFTER", "FIT_BITS", "SLICE", "CHUNK", "ABREAST", "CUT")}
+    return kernel.loops(spark, (*own.items(), ("SPREAD", int(SPREAD.view(np.int64))), ("PRIME", 0x100000001B3)))
+
+
+def laid_out(code: Code) -> dict[str, np.ndarray | bytes]:
+    """The code as the loops in the JVM read it; a choice is twice its node and its bit."""
+    ends = np.cumsum([0, *map(len, code.words)])
+    if ends[-1] >> 31 or len(code.nodes) >> 31:
+        raise ValueError("the code of the common words is too large")
+    return {"words": b"".join(code.words), "offsets": ends.astype(np.int32), "sizes": code.size.astype(np.int8), "path": code.nodes.astype(np.int32) * 2 + code.bits, "logs": kernel.LOGARITHMS}
+
+
 def _texts(batch: pa.RecordBatch) -> pa.Array:
     return pc.ascii_lower(pc.fill_null(batch.column("text"), ""))
 
@@ -509,9 +527,10 @@ def pieces(counts: np.ndarray, cut: int) -> pa.RecordBatch:
 
 def train_mixer(training: DataFrame, code: Code, tokens: int) -> Mixer:
     """Counts of word contexts over all training text; then weights and refinement averaged over tasks that learn online."""
-    shape, cut = (2, 1 << CONTEXT_BITS, 2), 1 << 12
+    shape, cut = (2, 1 << CONTEXT_BITS, 2), CUT
     context = training.sparkSession.sparkContext
-    shared = context.broadcast(code)
+    compiled = loops(training.sparkSession)
+    shared = None if compiled else context.broadcast(code)
     few = training.coalesce(max(context.defaultParallelism, tokens // TABLE_TOKENS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -527,8 +546,14 @@ def train_mixer(training: DataFrame, code: Code, tokens: int) -> Mixer:
                     np.add.at(counts[i].reshape(-1), spread_slots(look(contexts[i][at : at + COUNTED], word), spread) * 2 + bit, np.uint32(1))
         yield pieces(counts, cut)
 
-    model = Mixer(summed_tables(few.mapInArrow(frugal(count), "part long, own binary"), shape, cut))
-    tables = context.broadcast(model.left_out(code))
+    schema = "part long, own binary"
+    binary = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    if compiled:
+        laid = laid_out(code)
+        model = Mixer(summed_tables(kernel.mapped(compiled, "count", few.select(binary), laid, schema), shape, cut))
+    else:
+        model = Mixer(summed_tables(few.mapInArrow(frugal(count), schema), shape, cut))
+    tables = None if compiled else context.broadcast(model.left_out(code))
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n, code = Mixer(np.zeros((2, 0, 2), np.float32), seen_less=tables.value), 0, shared.value
@@ -547,7 +572,12 @@ def train_mixer(training: DataFrame, code: Code, tokens: int) -> Mixer:
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([w.tobytes()], pa.binary()), pa.array([r.tobytes()], pa.binary())], names=["n", "weights", "refined"])
 
     schema = "n long, weights binary, refined binary"
-    fitted = training.mapInArrow(frugal(learned), schema).repartition(8).mapInArrow(added, schema).collect()
+    if compiled:
+        laid |= {f"table{i}": t for i, t in enumerate(model.left_out(code))} | {"weights": model.weights, "refined": model.refined}
+        each = kernel.mapped(compiled, "fit", training.select(binary), laid, schema)
+    else:
+        each = training.mapInArrow(frugal(learned), schema)
+    fitted = each.repartition(8).mapInArrow(added, schema).collect()
     n = sum(r["n"] for r in fitted)
     if n:
         mean = lambda c, like: (sum(np.frombuffer(r[c]) for r in fitted) / n).reshape(like.shape).astype(np.float32)
@@ -669,7 +699,8 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     base = np.append(np.log10((code.seen + 1) / (totals.n + totals.v + 1)), 0.0)
     mixer.packed(code)
     mixer.counts, mixer.seen_less = np.zeros((2, 0, 2), np.float32), None  # scoring reads the packed tables alone
-    shared = docs.sparkSession.sparkContext.broadcast((code, mixer, known, base))
+    compiled = loops(docs.sparkSession)
+    shared = None if compiled else docs.sparkSession.sparkContext.broadcast((code, mixer, known, base))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, mixer, known, base = shared.value
@@ -692,7 +723,12 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
             number += batch.num_rows
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double, coded double, rare array<struct<word: binary, n: long>>"
-    parts = written(plain.mapInArrow(frugal(run), schema))
+    if compiled:
+        laid = laid_out(code) | {f"table{i}": t for i, t in enumerate(mixer.packed(code))} | {"weights": mixer.weights, "refined": mixer.refined, "known": known, "base": base}
+        binary = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+        parts = written(kernel.mapped(compiled, "score", plain.select(binary, "doc_id", "held_out"), laid, schema))
+    else:
+        parts = written(plain.mapInArrow(frugal(run), schema))
     rare = parts.select("row", F.explode("rare").alias("w")).select("row", F.col("w.word").alias("word"), F.col("w.n").alias("n"))
     joined = rare.join(with_spelling(rare_counts, speller), "word")
     by_spelling = F.log10(F.lit(totals.spelled)) + F.col("lp")

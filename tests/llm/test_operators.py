@@ -154,6 +154,35 @@ def test_packed_tables_leave_out_one_sight():
         assert (less[:, bit] & 3).tolist() == context_mixing.gate_step(left.sum(1)).tolist()
 
 
+def test_loops_in_the_jvm_do_what_numpy_does(spark):
+    m, kernel = context_mixing, context_mixing.kernel
+    texts = [prose(i, n) for i, n in enumerate([400] * 8 + [1300, 700, 1, 0, 90])]
+    model, code = trained(texts[:-1])
+    texts.append([b"unheard-of", *prose(3, 40), b"unheard-of"])
+    codes, per_doc = coded_words(code, texts)
+    rows = [(b" ".join(t).upper(), i, False) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "text binary, doc_id long, held_out boolean").coalesce(1)
+    loops, laid = m.loops(spark), m.laid_out(code)
+    counts = np.zeros_like(model.counts)
+    word, node, bit = m.bits_of(code, codes)
+    for i, context in enumerate(m.word_contexts(codes, per_doc)):
+        np.add.at(counts[i].reshape(-1), m.context_slots(context[word], node) * 2 + bit, 1)
+    assert (m.summed_tables(kernel.mapped(loops, "count", docs, laid, "part long, own binary"), counts.shape, m.CUT) == counts).all()
+    plain = m.Mixer(counts)
+    laid |= {f"table{i}": t for i, t in enumerate(plain.left_out(code))} | {"weights": plain.weights.copy(), "refined": plain.refined.copy()}
+    fitted = kernel.mapped(loops, "fit", docs, laid, "n long, weights binary, refined binary").collect()[0]
+    assert fitted["n"] == m.fit(plain, code, codes, per_doc)
+    assert np.frombuffer(fitted["weights"]).reshape(plain.weights.shape) / fitted["n"] == pytest.approx(plain.weights, abs=1e-4)
+    assert np.frombuffer(fitted["refined"]) / fitted["n"] == pytest.approx(plain.refined, abs=1e-4)
+    laid |= {f"table{i}": t for i, t in enumerate(plain.packed(code))} | {"weights": plain.weights, "refined": plain.refined}
+    laid |= {"known": np.append(code.seen > 0, False), "base": np.append(code.seen + 0.5, 0.0)}
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double, coded double, rare array<struct<word: binary, n: long>>"
+    out = sorted(kernel.mapped(loops, "score", docs, laid, schema).collect(), key=lambda r: r["doc_id"])
+    assert [r["coded"] for r in out] == pytest.approx(m.text_scores(plain, code, codes, per_doc).tolist(), rel=1e-4)
+    assert [r["n_tokens"] for r in out] == per_doc.tolist() and out[-1]["n_known"] == 41
+    assert [(bytes(w["word"]), w["n"]) for w in out[-1]["rare"]] == [(b"unheard-of", 2)] and not any(r["rare"] for r in out[:-1])
+
+
 def test_speller_tables_come_from_few_tasks(spark, monkeypatch):
     words = spark.createDataFrame([(f"w{i}".encode(), 1) for i in range(300)], "word binary, count long")
     kind, seen, summed = type(words), [], context_mixing.summed_tables
