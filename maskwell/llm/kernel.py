@@ -177,7 +177,9 @@ public class @NAME@ implements MapPartitionsFunction {
         }
 
         float stretched(int n0, int n1) {
-            return Math.min(10f, Math.max(-10f, logarithm(n1) - logarithm(n0)));
+            if ((n0 | n1) < 4096) return logs[n1] - logs[n0];  // within 10 of zero
+            float r = logarithm(n1) - logarithm(n0);
+            return r < -10f ? -10f : r > 10f ? 10f : r;
         }
     }
 
@@ -186,6 +188,13 @@ public class @NAME@ implements MapPartitionsFunction {
         return h ^ (h >>> 31);
     }
 
+    /** 1 / (1 + exp(-z)) from -8 to 8 in steps of 1/256; a line between two is right to 2e-7. */
+    static final float[] SQUASHED = new float[4098];
+
+    static {
+        for (int i = 0; i < SQUASHED.length; i++) SQUASHED[i] = (float) (1 / (1 + Math.exp(8 - i / 256.0)));
+    }
+
     /** Weights and refinement, and what the choices since they last followed say. */
     static final class State {
         final float[] weights = new float[GATES * INPUTS], slope = new float[GATES * INPUTS], refined = new float[BINS];
@@ -200,9 +209,11 @@ public class @NAME@ implements MapPartitionsFunction {
         float choose(float x0, float x1, float x2, float x3, float x4, int gate, int bit) {
             int g = gate * INPUTS;
             float z = x0 * weights[g] + x1 * weights[g + 1] + x2 * weights[g + 2] + x3 * weights[g + 3] + x4 * weights[g + 4];
-            z = Math.min(7.99f, Math.max(-7.99f, z));
-            float p = 1f / (1f + (float) Math.exp(-z));
-            float spot = (z + 8f) * ((BINS - 1) / 16f);
+            z = (z < -7.99f ? -7.99f : z > 7.99f ? 7.99f : z) + 8f;
+            float fine = z * 256f;
+            int step = (int) fine;
+            float p = SQUASHED[step] + (fine - step) * (SQUASHED[step + 1] - SQUASHED[step]);
+            float spot = z * ((BINS - 1) / 16f);
             int low = (int) spot;
             float part = spot - low, error = bit - p, q = refined[low] + part * (refined[low + 1] - refined[low]);
             slope[g] += x0 * error;
@@ -214,7 +225,8 @@ public class @NAME@ implements MapPartitionsFunction {
             if (part > 0.5f) low++;
             hits[low]++;
             ones[low] += bit;
-            p = Math.min((float) (1 - 1e-5), Math.max(1e-5f, (p + q) * 0.5f));
+            p = (p + q) * 0.5f;
+            p = p < 1e-5f ? 1e-5f : p > 0.99999f ? 0.99999f : p;
             return bit == 1 ? p : 1f - p;
         }
 
