@@ -205,8 +205,8 @@ public class @NAME@ implements MapPartitionsFunction {
             System.arraycopy(m.refined, 0, refined, 0, BINS);
         }
 
-        /** The taken bit's probability; what the choice says is kept for follow(). */
-        float choose(float x0, float x1, float x2, float x3, float x4, int gate, int bit) {
+        /** The taken bit's probability, if wanted; what the choice says is kept for follow(). */
+        float choose(float x0, float x1, float x2, float x3, float x4, int gate, int bit, boolean wanted) {
             int g = gate * INPUTS;
             float z = x0 * weights[g] + x1 * weights[g + 1] + x2 * weights[g + 2] + x3 * weights[g + 3] + x4 * weights[g + 4];
             z = (z < -7.99f ? -7.99f : z > 7.99f ? 7.99f : z) + 8f;
@@ -215,7 +215,8 @@ public class @NAME@ implements MapPartitionsFunction {
             float p = SQUASHED[step] + (fine - step) * (SQUASHED[step + 1] - SQUASHED[step]);
             float spot = z * ((BINS - 1) / 16f);
             int low = (int) spot;
-            float part = spot - low, error = bit - p, q = refined[low] + part * (refined[low + 1] - refined[low]);
+            float part = spot - low, error = bit - p;
+            float q = wanted ? refined[low] + part * (refined[low + 1] - refined[low]) : 0f;
             slope[g] += x0 * error;
             slope[g + 1] += x1 * error;
             slope[g + 2] += x2 * error;
@@ -225,6 +226,7 @@ public class @NAME@ implements MapPartitionsFunction {
             if (part > 0.5f) low++;
             hits[low]++;
             ones[low] += bit;
+            if (!wanted) return 0f;
             p = (p + q) * 0.5f;
             p = p < 1e-5f ? 1e-5f : p > 0.99999f ? 0.99999f : p;
             return bit == 1 ? p : 1f - p;
@@ -357,7 +359,7 @@ public class @NAME@ implements MapPartitionsFunction {
                     }
                     int e0 = t0[s0], e1 = t1[s1], e2 = t2[s2];
                     float p = s.choose((e0 >>> 2) * (1f / 800) - 10f, (e1 >>> 2) * (1f / 800) - 10f, (e2 >>> 2) * (1f / 800) - 10f,
-                        m.stretched(own[a], own[a + 1]), m.stretched(own[b], own[b + 1]), (e1 & 3) + SEEN * (e2 & 3), bit);
+                        m.stretched(own[a], own[a + 1]), m.stretched(own[b], own[b + 1]), (e1 & 3) + SEEN * (e2 & 3), bit, !leftOut);
                     spots[spot++] = a + bit;
                     spots[spot++] = b + bit;
                     if (leftOut) {
